@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, mixing, private_data, toxicity
 from .hashing_search import neighbours
 from .html_text import extract
 from .packing import pack
@@ -45,10 +45,18 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find(_table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_key") % 100 == 0, k=10)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -60,5 +68,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_key") % 50 == 0, k=5)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_html_text, op7_topk, op9_language_id, op10_neighbours)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_html_text, op5_private_data, op7_topk, op8_mixing, op9_language_id, op10_neighbours)}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle()}
