@@ -51,6 +51,8 @@ BLOCK = 512
 #: Shingles of a batch that are sketched together.
 _AT_ONCE = 1 << 17
 _CACHE = 500_000
+#: Slots of the filters that thin a table before a join; this bounds what they broadcast.
+SLOTS = 1 << 20
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -191,6 +193,17 @@ def _alike(left: str, right: str) -> Column:
     return agree(F.col(left), F.col(right))
 
 
+def _thinned(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows that may have a partner in `wanted`: those in a slot of a hash that a wanted row fills.
+
+    At most SLOTS numbers are broadcast, however many rows are wanted. The exact
+    join comes after it and moves the less, the fewer slots are filled.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(SLOTS)).alias("slot")
+    filled = wanted.select(slot).distinct()
+    return rows.withColumn("slot", slot).join(F.broadcast(filled), "slot", "left_semi").drop("slot")
+
+
 def _near_pivots(members: DataFrame, pivots: DataFrame, held: DataFrame) -> DataFrame:
     """a, b: nodes and the pivots of their buckets whose signatures are alike."""
     pairs = members.join(pivots, "bucket").where(F.col("h") != F.col("pivot")).select("h", "pivot").distinct()
@@ -245,11 +258,12 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     in_bucket = nodes.select("h", F.explode("buckets").alias("bucket"))
     in_bucket = scratch.store(in_bucket, "near-buckets")
     shared = scratch.store(in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1), "near-shared")
-    members = scratch.store(in_bucket.join(shared, "bucket"), "near-members")
+    members = scratch.store(_thinned(in_bucket, shared, "bucket").join(shared, "bucket"), "near-members")
     ranks = members.groupBy("h").agg(F.sum(F.log2("n")).alias("score"))
     ranks = scratch.store(ranks, "near-nodes")
     # What verification needs, once for each node that shares a bucket.
-    held = sketches.select("h", "signature", "shingles").join(ranks.select("h"), "h", "left_semi").groupBy("h").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    held = _thinned(sketches.select("h", "signature", "shingles"), ranks, "h").join(ranks.select("h"), "h", "left_semi")
+    held = held.groupBy("h").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
     held = scratch.store(held, "near-held")
     pivots = members.join(ranks, "h").groupBy("bucket").agg(F.max(F.struct("score", "h")).alias("top")).select("bucket", F.col("top.h").alias("pivot"))
     edges = _near_pivots(members.select("bucket", "h"), scratch.store(pivots, "near-pivots"), held)
