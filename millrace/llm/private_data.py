@@ -47,8 +47,6 @@ TERM_PATTERN = r"\p{L}{4,}"
 SUPPORT = 3
 GENERALISE_BITS = 1.0
 REMOVE_BITS = 0.25
-#: Terms that are worth a broadcast; more are matched by a shuffle.
-BROADCAST_TERMS = 100_000
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 _NEAR = "array<struct<entity:string,term:string,start:int,end:int>>"
@@ -151,12 +149,9 @@ def disclosing_terms(docs: DataFrame, facts: DataFrame, text: str = "text") -> D
     together = facts.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
     together = together.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     together = scratch.store(together, "entity-terms")
-    wanted = scratch.store(together.select("term").distinct(), "wanted-terms")
+    # Counted before the join: what is joined is a row for each term, not for each word of the corpus.
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM_PATTERN), F.lit(0)))).alias("term"))
-    if wanted.count() <= BROADCAST_TERMS:
-        counts = terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        counts = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term", "left_semi")
+    counts = terms.groupBy("term").agg(F.count("*").alias("n_term"))
     bits = -F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)))
     return together.join(counts, "term").select("entity", "term", bits.alias("bits")).where(F.col("bits") <= GENERALISE_BITS)
 
