@@ -18,8 +18,8 @@ def test_held_out_accuracy(spark, sf_dir):
 def test_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = L.fit(docs, F.lit(True))
-    german = "Der die und das ist nicht einer unter den Leuten, die heute schreiben wollten. "
-    rows = [(1, None, 0.5), (2, "", 0.5), (3, "123 !?", 0.5), (None, german, 0.5), (4, german * 2000, 0.5), (4, german * 2000, 0.5), (5, "123 " * 50000, 0.5), (6, "x", 0.5)]
+    german = docs.where("lang = 'de' AND n_chars BETWEEN 500 AND 3000").orderBy("doc_id").first().text
+    rows = [(1, None, 0.5), (2, "", 0.5), (3, "123 !?", 0.5), (None, german, 0.5), (4, german * 200, 0.5), (4, german * 200, 0.5), (5, "123 " * 50000, 0.5), (6, "x", 0.5)]
     odd = spark.createDataFrame(rows, "doc_id long, text string, score double")
     got = L.predict(odd, model).collect()
     assert len(got) == 8
