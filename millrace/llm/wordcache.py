@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -124,6 +125,17 @@ class LengthCache:
 
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as one visible character: printable
+    Latin-1 characters stand for themselves, the other bytes are 256, 257, ... in turn."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class IdCache(dict):
     """Piece -> its ids as little-endian unsigned 16-bit bytes, for a lower-casing
     tokenizer that drops white space. Vocabularies beyond 65,536 ids are refused."""
@@ -142,6 +154,9 @@ class IdCache(dict):
         if piece.isalpha() and piece.isascii():
             # The byte-level form of lower-case ASCII letters is the word itself.
             found = self._pack([t.id for t in self.model.tokenize(piece)])
+        elif piece.isalpha() and is_normalized("NFC", piece):
+            letters = piece.encode("utf-8").decode("latin-1").translate(_LETTERS)
+            found = self._pack([t.id for t in self.model.tokenize(letters)])
         elif piece[-1] in ".," and piece[:-1].isalpha():
             found = self[piece[:-1]] + self[piece[-1]]
         else:
