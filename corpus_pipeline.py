@@ -59,6 +59,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = scratch.mark()
     for name, stage in STAGES:
         docs = scratch.store(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop_since(spark, begun)  # what the stage read and wrote on its way
     return docs

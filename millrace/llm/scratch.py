@@ -38,10 +38,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes every table that this process stored; no earlier result may be read afterwards."""
-    jvm = spark._jvm
+def mark() -> int:
+    """The number of tables stored so far."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, since: int, keep_last: bool = True) -> None:
+    """Removes the tables stored since a mark, but for the last; nothing may read them afterwards."""
     conf = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    kept = _written[-1:] if keep_last and len(_written) > since else []
+    for name in _written[since : len(_written) - len(kept)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    _written[since:] = kept
