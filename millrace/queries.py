@@ -238,7 +238,7 @@ def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
