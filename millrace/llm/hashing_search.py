@@ -24,9 +24,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from . import vectors
+from .sampling import bounded_sample
 
 #: Bound of the sample for codes and radius, and of the queries among it.
 SAMPLE = 8192
@@ -119,7 +119,7 @@ def _balls(radius: int) -> np.ndarray:
 def neighbours(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k nearest rows found, by cosine: query_id, rank, vec_id, score."""
     own = vectors.usable(rows, key, vector, nonzero=True)
-    sample = own.orderBy(F.xxhash64("vec_key"), "vec_key").limit(SAMPLE).select("vector").toArrow().column(0).to_pylist()
+    sample = bounded_sample(own, SAMPLE, "vec_key").select("vector").toArrow().column(0).to_pylist()
     by_width: dict[int, list[list[float]]] = {}
     for x in sample:
         by_width.setdefault(len(x), []).append(x)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import bounded_sample
+
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
 WINDOW = 128
@@ -126,8 +128,8 @@ def fit(docs: DataFrame, trainable: Column, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["lang", "bytes"])
 
     usable = docs.where(trainable & F.col(lang).isNotNull() & (F.length(text) > 0))
-    chosen = usable.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    bounded = chosen.orderBy("h", "k", "lang").limit(SAMPLE_DOCS).select("lang", "text")
+    chosen = usable.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    bounded = bounded_sample(chosen, SAMPLE_DOCS, "k", "lang").select("lang", "text")
     rows = bounded.mapInArrow(sample, "lang string, bytes binary").orderBy("lang", "bytes").collect()
     if not rows:
         return None

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .sampling import bounded_sample
 
 #: Bounds of the training sample (labelled documents of each kind) and of the vocabulary.
 SAMPLE = 2500
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     totals = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return None
-    chosen = [marks.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(SAMPLE) for y in (0, 1)]
+    chosen = [bounded_sample(marks.where(F.col("y") == y), SAMPLE, "k") for y in (0, 1)]
     # Two bounded lists: SAMPLE keys each.
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "k")
     sample = scratch.store(sample, "labelled-sample")
