@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 A document is its set of five-word shingles (lower-case runs of word characters;
-fewer words make one shingle), weighted by 1 + log(count). Each shingle is a
-Poisson process of its weight's rate whose arrivals fall on components of the
-signature at random; the first arrival on a component names it, and a document
-ends as soon as no later arrival can be first. Two signatures agree in a
-component with the probability Jaccard of the weighted shingles.
+fewer words make one shingle), however often each occurs: the links to keep are
+those of the sets, so all weights are 1. Each shingle is a Poisson process of its
+weight's rate whose arrivals fall on components of the signature at random; the
+first arrival on a component names it, and a document ends as soon as no later
+arrival can be first. Two signatures agree in a component with the probability
+Jaccard of the weighted shingles, which at weights of 1 is the Jaccard index.
 
 Texts that are equal are one node. Nodes that agree in all components of a band
 share a bucket. In each bucket the node that lies in the most and largest buckets
@@ -132,24 +133,24 @@ def sketch(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.nda
     buckets = np.zeros((len(texts), BANDS), np.int64)
     signatures = np.zeros((len(texts), COMPONENTS), np.uint16)
     sets: list[np.ndarray] = []
-    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    held: list[tuple[int, np.ndarray]] = []
     n = 0
 
     def flush() -> None:
         if not held:
             return
-        doc = np.repeat(np.arange(len(held)), [len(k) for _, k, _ in held])
-        keys, counts = np.concatenate([k for _, k, _ in held]), np.concatenate([c for _, _, c in held])
-        found = probminhash(doc, keys, 1 + np.log(counts), len(held))
-        rows = [i for i, _, _ in held]
+        doc = np.repeat(np.arange(len(held)), [len(k) for _, k in held])
+        keys = np.concatenate([k for _, k in held])
+        found = probminhash(doc, keys, np.ones(len(keys)), len(held))
+        rows = [i for i, _ in held]
         buckets[rows] = bands(found)
         signatures[rows] = (found >> _U(48)).astype(np.uint16)
 
     for i, text in enumerate(texts):
-        keys, counts = np.unique(shingles(text), return_counts=True)
+        keys = np.unique(shingles(text))
         sets.append(np.unique((keys >> _U(32)).astype(np.uint32)))
         if len(keys):
-            held.append((i, keys, counts))
+            held.append((i, keys))
             n += len(keys)
         if n > _AT_ONCE:
             flush()
