@@ -2,13 +2,14 @@
 
 Four kinds are found by pattern: e-mail and IP addresses, card numbers passing
 Luhn's check, phone numbers. Each value found is a protected entity. A term that
-stands near an entity in several documents, and nearly nowhere else, tells the
-entity even where its own characters are gone: with n(e, t) documents in which
-term t stands near entity e, and n(t) documents that hold t at all, a reader of t
+stands in an entity's documents, several of them, and nearly nowhere else, tells
+the entity even where its own characters are gone: with n(e, t) documents that hold
+both term t and entity e, and n(t) documents that hold t at all, a reader of t
 is left with H = -log2(n(e, t) / n(t)) bits about e; the information that t
 discloses is IC(e) - H, so the less is left, the more is told. Terms that leave
-at most GENERALISE_BITS become a general word there, and terms that leave at most
-REMOVE_BITS go. Both counts cover all documents.
+at most GENERALISE_BITS become a general word, and terms that leave at most
+REMOVE_BITS go, wherever they stand, in documents without the entity too. Both
+counts cover the whole of all documents.
 
 Everything is DataFrame expressions. The patterns are possessive and start only
 where a match can, so a long run of characters costs no more than its length.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .near_duplicates import _thinned
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of the spans that the method adds.
@@ -39,17 +41,14 @@ PATTERNS = {
 #: A text without a match of this has none of the kind.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 
-#: Code points on either side of an entity in which terms are near it.
-NEAR = 60
 #: Letters of a term at least.
 TERM_PATTERN = r"\p{L}{4,}"
-#: Documents in which a term stands near an entity at least.
+#: Documents that hold a term and an entity at least.
 SUPPORT = 3
 GENERALISE_BITS = 1.0
 REMOVE_BITS = 0.25
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-_NEAR = "array<struct<entity:string,term:string,start:int,end:int>>"
 
 
 def _positions(text: Column, pattern: str) -> Column:
@@ -108,26 +107,29 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*lists))
 
 
-def _near_terms(text: Column, spans: Column) -> Column:
-    """The terms near each span, whole words outside all spans: entity, term, start, end."""
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
 
-    def around(span: Column) -> Column:
-        entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.lower(span["value"]))
-        begin = F.greatest(span["start"] - NEAR, F.lit(0))
-        left = F.substring(text, begin + 1, span["start"] - begin)
-        # A word cut by the edge is no term.
-        torn = F.when(begin > 0, F.length(F.regexp_extract(left, r"^\p{L}*", 0))).otherwise(0)
-        left = F.substring(left, torn + 1, NEAR)
-        right = F.substring(text, span["end"] + 1, F.lit(NEAR))
-        right = F.when(F.length(right) == NEAR, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
 
-        def terms(part: Column, shift: Column) -> Column:
-            return F.transform(_positions(part, TERM_PATTERN), lambda x: F.struct(entity.alias("entity"), F.lower(x["value"]).alias("term"), (x["start"] + shift).alias("start"), (x["end"] + shift).alias("end")))
+def _places(text: Column, wanted: Column) -> Column:
+    """The spans of the wanted terms (an array of term and kind), each time they occur."""
+    found = F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0))
+    words = F.zip_with(found, F.slice(F.split(text, TERM_PATTERN, -1), F.lit(1), F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), F.lower(m).alias("term")))
+    kinds = F.map_from_entries(wanted)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-        return F.concat(terms(left, begin + torn), terms(right, span["end"]))
+    def step(s: Column, x: Column) -> Column:
+        begin = s["at"] + x["gap"]
+        span = F.struct(begin.alias("start"), kinds[x["term"]].alias("kind"), (begin + x["n"]).alias("end"), F.lit("").alias("value"))
+        return F.struct((begin + x["n"]).alias("at"), F.when(kinds[x["term"]].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(span))).alias("out"))
+
+    return F.aggregate(words, start, step, lambda s: s["out"])
 
-    near = F.flatten(F.transform(spans, around))
-    return F.array_distinct(F.filter(near, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))))
+
+def _outside(extra: Column, base: Column) -> Column:
+    """The spans of terms, none for null, that overlap none of the four kinds."""
+    return F.filter(F.coalesce(extra, F.array().cast(_SPAN)), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
 def _written(spans: Column, names: tuple[str, ...]) -> Column:
@@ -136,47 +138,59 @@ def _written(spans: Column, names: tuple[str, ...]) -> Column:
 
 
 def _facts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_key, h (a hash of the text), base (spans), near (terms); one text pass."""
+    """row, doc_key, h (a hash of the text), base (spans), terms (of texts with spans, outside them); one text pass."""
     words = F.coalesce(F.col(text), F.lit(""))
-    plain = docs.select(F.col(key).alias("doc_key"), F.xxhash64(F.col(text)).alias("h"), words.alias("words"))
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_key"), F.xxhash64(F.col(text)).alias("h"), words.alias("words"))
     based = plain.withColumn("base", base_spans(F.col("words")))
-    near = F.when(F.size("base") > 0, _near_terms(F.col("words"), F.col("base"))).otherwise(F.array().cast(_NEAR))
-    return based.select("doc_key", "h", "base", near.alias("near"))
+    terms = F.when(F.size("base") > 0, _terms(_rewritten(F.col("words"), F.col("base"), (" ",) * len(KINDS)))).otherwise(F.array().cast("array<string>"))
+    return based.select("row", "doc_key", "h", "base", terms.alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame, facts: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, bits: the pairs that leave at most GENERALISE_BITS, from counts over all documents."""
-    together = facts.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("p"))
-    together = together.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    names = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"]))))
+    entities = facts.where(F.size("base") > 0).select("row", F.explode(names).alias("entity"))
+    # An entity of fewer documents has no pair that counts.
+    often = entities.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("entity")
+    entities = scratch.store(entities.join(often, "entity"), "private-entities")
+    together = entities.join(facts.where(F.size("terms") > 0).select("row", "terms"), "row").select("entity", F.explode("terms").alias("term"))
+    together = together.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
     together = scratch.store(together, "entity-terms")
     # Counted before the join: what is joined is a row for each term, not for each word of the corpus.
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM_PATTERN), F.lit(0)))).alias("term"))
+    terms = docs.select(F.explode(_terms(F.col(text))).alias("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("n_term"))
     bits = -F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)))
     return together.join(counts, "term").select("entity", "term", bits.alias("bits")).where(F.col("bits") <= GENERALISE_BITS)
 
 
-def _extra(facts: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """doc_key, h, extra: the spans of disclosing terms; kind 4 generalises, kind 5 removes."""
-    near = facts.where(F.size("near") > 0).select("doc_key", "h", F.explode("near").alias("t"))
-    near = near.select("doc_key", "h", "t.entity", "t.term", "t.start", "t.end")
+def _extra(docs: DataFrame, disclosing: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_key, h, extra: the spans of disclosing terms in all documents; kind 4 generalises, kind 5 removes."""
     kind = F.when(F.col("bits") <= REMOVE_BITS, F.lit(5)).otherwise(F.lit(4))
-    hits = near.join(disclosing, ["entity", "term"]).groupBy("doc_key", "h", "start", "end").agg(F.max(kind).alias("kind"))
-    return hits.groupBy("doc_key", "h").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.lit("").alias("value")))).alias("extra"))
+    telling = scratch.store(disclosing.groupBy("term").agg(F.max(kind).alias("kind")), "private-telling")
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_key"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("words"))
+    terms = own.select("doc_key", "h", F.explode(_terms(F.col("words"))).alias("term"))
+    hits = _thinned(terms, telling, "term").join(telling, "term").groupBy("doc_key", "h").agg(F.collect_set(F.struct("term", "kind")).alias("wanted"))
+    hits = scratch.store(hits, "private-hits").select(F.col("doc_key").alias("hit_key"), F.col("h").alias("hit_h"), "wanted")
+    thin = _thinned(own, hits.select(F.col("hit_h").alias("h")), "h")
+    found = thin.join(hits, F.col("doc_key").eqNullSafe(F.col("hit_key")) & (F.col("h") == F.col("hit_h")))
+    places = found.select("doc_key", "h", _places(F.col("words"), F.col("wanted")).alias("extra"))
+    # Rows with the same key and text have the same spans.
+    return places.groupBy("doc_key", "h").agg(F.first("extra").alias("extra"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans."""
     facts = scratch.store(_facts(docs, key, text), "private-facts")
-    extra = scratch.store(_extra(facts, disclosing_terms(docs, facts, text)), "private-terms")
+    extra = scratch.store(_extra(docs, disclosing_terms(docs, facts, text), key, text), "private-terms")
     all_rows = facts.alias("f").join(extra.alias("e"), F.col("f.doc_key").eqNullSafe(F.col("e.doc_key")) & (F.col("f.h") == F.col("e.h")), "left")
+    all_rows = all_rows.select("f.doc_key", "base", _outside(F.col("extra"), F.col("base")).alias("extra"))
     names = (*KINDS, TERM, TERM)
-    spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN))))
+    spans = F.array_sort(F.concat("base", "extra"))
     counts = [_number_of(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return all_rows.select(
-        F.col("f.doc_key").alias(key),
+        F.col("doc_key").alias(key),
         *counts,
-        F.coalesce(F.size("extra"), F.lit(0)).cast("long").alias("n_term"),
+        F.size("extra").cast("long").alias("n_term"),
         F.sha2(_written(F.col("base"), names), 256).alias("base_sha256"),
         _written(spans, names).alias("spans"),
     )
@@ -186,9 +200,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 INSTEAD = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 
 
-def _rewritten(text: Column, spans: Column) -> Column:
+def _rewritten(text: Column, spans: Column, words: tuple[str, ...] = INSTEAD) -> Column:
     """The text with each span replaced; of overlapping spans the first gives the word."""
-    instead = F.array(*map(F.lit, INSTEAD))
+    instead = F.array(*map(F.lit, words))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -202,10 +216,10 @@ def _rewritten(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their columns, personal data and disclosing terms replaced in the text."""
     facts = scratch.store(_facts(docs, key, text), "private-facts")
-    found = facts.where(F.size("base") > 0)
-    extra = _extra(facts, disclosing_terms(docs, facts, text))
-    joined = found.alias("f").join(extra.alias("e"), F.col("f.doc_key").eqNullSafe(F.col("e.doc_key")) & (F.col("f.h") == F.col("e.h")), "left")
-    spans = joined.select(F.col("f.doc_key").alias("span_key"), F.col("f.h").alias("span_h"), F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN)))).alias("spans"))
+    extra = scratch.store(_extra(docs, disclosing_terms(docs, facts, text), key, text), "private-terms")
+    joined = facts.alias("f").join(extra.alias("e"), F.col("f.doc_key").eqNullSafe(F.col("e.doc_key")) & (F.col("f.h") == F.col("e.h")), "left")
+    joined = joined.where((F.size("base") > 0) | F.col("extra").isNotNull())
+    spans = joined.select(F.col("f.doc_key").alias("span_key"), F.col("f.h").alias("span_h"), F.array_sort(F.concat("base", _outside(F.col("extra"), F.col("base")))).alias("spans"))
     # Rows with the same key and text have the same spans.
     spans = scratch.store(spans.groupBy("span_key", "span_h").agg(F.first("spans").alias("spans")), "private-spans")
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).alias("own_key"), F.xxhash64(F.col(text)).alias("own_h"))

@@ -100,6 +100,16 @@ def test_sanitised_texts(spark):
     assert P.sanitise(docs.limit(0)).count() == 0 and P.find(docs.limit(0)).count() == 0
 
 
+def test_terms_far_from_the_entity_and_without_it(spark):
+    far = "house " * 30
+    rows = [(i, f"karlsruhe {far}ann@x.org {i}") for i in range(4)] + [(10, f"to karlsruhe {far}and Karlsruhe")] + [(20 + i, far) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
+    assert texts[0] == f"[TERM] {far}[EMAIL] 0"
+    assert texts[10] == f"to [TERM] {far}and [TERM]" and texts[20] == far
+    assert {r.doc_id: r.n_term for r in P.find(docs).collect()} == {i: {10: 2}.get(i, int(i < 4)) for i, _ in rows}
+
+
 def test_overlapping_spans(spark):
     docs = spark.createDataFrame([(1, "x +378282246310005 y", "", 0), (2, "a@1.2.3.4 z", "", 0)], "doc_id long, text string, a string, b int")
     assert {r.doc_id: r.text for r in P.sanitise(docs).collect()} == {1: "x [PHONE] y", 2: "[EMAIL] z"}
