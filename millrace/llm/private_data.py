@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .near_duplicates import _thinned
+from .thinning import thinned as _thinned
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of the spans that the method adds.
