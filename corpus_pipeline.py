@@ -57,10 +57,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the last one's rows."""
+    """All stages over the documents of sf_dir; the last one's rows.
+
+    What a stage stored on its way goes as soon as its result is written, and the
+    stages' results at the end, but for the last.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    begun = scratch.mark()
-    for name, stage in STAGES:
-        docs = scratch.store(stage(spark, docs, sf_dir), f"stage-{name}")
-        scratch.drop_since(spark, begun)  # what the stage read and wrote on its way
-    return docs
+    with scratch.temporary(spark):
+        for name, stage in STAGES[:-1]:
+            with scratch.temporary(spark):
+                docs = scratch.store(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        name, stage = STAGES[-1]
+        return scratch.store(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
