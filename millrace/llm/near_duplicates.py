@@ -18,10 +18,12 @@ share a bucket, and all links inside buckets are verified on the sets:
 2. Buckets that still hold several classes go to an exact join. A set that is
    0.8-alike to another shares one of its rarest shingles with it, the first fifth
    and one more in order of frequency; the unique ones among these need no
-   partner. Nodes that share such a shingle meet in blocks of bounded bytes, but
-   for those of the shingle's largest class, which need not meet one another.
-   So no comparison is left out, texts that share only a frequent passage are
-   not even looked at, and no pairs are written.
+   partner. What a set holds from its first shared shingle on must suffice for the
+   overlap. Shingles of few nodes give the pairs of nodes of different classes;
+   the nodes of others meet in blocks of bounded bytes, but for those of the
+   shingle's largest class, which need not meet one another. So no comparison is
+   left out, texts that share only a frequent passage are not even looked at,
+   and the pairs of a large group are never written.
 
 Links are given as one row for each node that a block connects; contraction of
 all links makes the classes. Shingles are compared by 32-bit hashes.
@@ -55,6 +57,8 @@ ROWS, BANDS = 6, 28
 COMPONENTS = ROWS * BANDS
 #: Rounds of comparisons with pivots, before the exact join.
 ROUNDS = 2
+#: Nodes of a shingle whose pairs are written, at most.
+PAIRED = 32
 #: Nodes, and shingles of all of them, in a block of the exact join.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 19
 #: Shingles of a batch that are sketched together.
@@ -224,26 +228,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(sets[0], "a").join(sets[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _meetings(rare: DataFrame) -> DataFrame:
-    """s, i, j, side, h, root, n: which nodes of each shingle s meet, in pairs of blocks.
+def _few(rare: DataFrame, live: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that share a shingle of few nodes and may be alike."""
+    rows = rare.join(live.where(F.col("nodes") <= PAIRED).select("s"), "s")
+    left, right = (rows.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("h", "root", "n", "left"))) for x in ("a", "b"))
+    met = left.join(right, "s").where((F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")))
+    # At the first shingle that both have, what is left of either set holds all of the overlap.
+    pairs = met.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b")).agg(F.max(F.least("left_a", "left_b")).alias("left"), F.first(F.col("n_a") + F.col("n_b")).alias("n"))
+    return pairs.where(F.col("left") >= F.ceil(F.round(F.col("n") * (SIMILARITY / (1 + SIMILARITY)), 6))).select("a", "b")
+
+
+def _meetings(rare: DataFrame, live: DataFrame) -> DataFrame:
+    """s, i, j, side, h, root: which nodes of each shingle s of many nodes meet, in pairs of blocks.
 
     The nodes of the shingle's largest class make blocks below 0, the others from
     0 on; the former meet the latter, and these one another.
     """
-    by_class = rare.groupBy("s", "root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
-    home = F.max(F.struct("nodes", "root", "shingles"))
-    of = by_class.groupBy("s").agg(home.alias("home"), F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles")).where(F.col("nodes") > F.col("home.nodes"))
 
     def blocks(nodes: Column, shingles: Column) -> Column:
         return F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
 
-    of = of.select(
+    of = live.where(F.col("nodes") > PAIRED).select(
         "s",
         F.col("home.root").alias("home"),
         blocks(F.col("home.nodes"), F.col("home.shingles")).alias("homes"),
         blocks(F.col("nodes") - F.col("home.nodes"), F.col("shingles") - F.col("home.shingles")).alias("others"),
     )
-    rows = rare.join(scratch.store(of, "near-live"), "s")
+    rows = rare.join(of, "s")
     at_home = F.col("root") == F.col("home")
     # Spread by the shingle too, so that blocks of different shingles are not alike.
     block = F.pmod(F.xxhash64("h", "s"), F.when(at_home, F.col("homes")).otherwise(F.col("others"))).cast("int")
@@ -301,9 +312,15 @@ def _exact_links(several: DataFrame, nodes: DataFrame) -> DataFrame:
     common = flat.join(scratch.store(frequent, "near-frequent"), "s").withColumn("place", F.row_number().over(own.orderBy("of", "s"))).withColumn("common", F.count("*").over(own))
     # The rarest shingles of a set are its unique ones; what is left of the prefix are the first of the others.
     prefix = F.col("n") - _least_size(F.col("n")) + 1 - (F.col("n") - F.col("common"))
-    rare = scratch.store(common.where(F.col("place") <= prefix).select("s", "h", "root", "n"), "near-rare")
-    met = _meetings(rare).join(held.select("h", "shingles"), "h")
-    return met.groupBy("s", "i", "j").applyInArrow(_linked, "a binary, b binary")
+    rare = common.where(F.col("place") <= prefix).select("s", "h", "root", "n", (F.col("common") - F.col("place") + 1).alias("left"))
+    rare = scratch.store(rare, "near-rare")
+    by_class = rare.groupBy("s", "root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    home = F.max(F.struct("nodes", "root", "shingles")).alias("home")
+    live = by_class.groupBy("s").agg(home, F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles")).where(F.col("nodes") > F.col("home.nodes"))
+    live = scratch.store(live, "near-live")
+    few = _verified(scratch.store(_few(rare, live), "near-pairs"), held)
+    met = _meetings(rare, live).join(held.select("h", "shingles"), "h")
+    return few.unionByName(met.groupBy("s", "i", "j").applyInArrow(_linked, "a binary, b binary"))
 
 
 def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -67,7 +67,8 @@ def corpus():
 
 
 def test_classes_equal_brute_force(spark, corpus, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_NODES", 16)  # hot shingles take several blocks
+    monkeypatch.setattr(N, "BLOCK_NODES", 16)
+    monkeypatch.setattr(N, "PAIRED", 3)  # hot shingles take several blocks
     docs = spark.createDataFrame([(i, t, 3) for i, t in corpus], "doc_id long, text string, h int")
     rows = N.near_duplicates(docs).collect()
     assert {r.doc_id: r.class_id for r in rows} == brute(corpus)
