@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import BindError, EngineError
 from .operators.relational import types_of
 from .plans import syntax as S
 from .plans.binder import bind
-from .plans.estimator import Statistics
+from .plans.estimator import cheapest_order
 from .plans.explain import describe
 from .plans.lowering import lower
 from .plans.options import Options
@@ -18,9 +20,6 @@ from .plans.parser import parse
 from .sources.catalog import Catalog
 from .sources.text import console_line, read_table, write_table
 
-#: Rows that the shell prints; `sql` returns them all.
-SHOWN_ROWS = 1000
-
 
 class Session:
     """`root` is a folder for created tables, `data` the folder that INSERT reads from."""
@@ -28,7 +27,6 @@ class Session:
     def __init__(self, spark: SparkSession, root: str | None = None, data: str = ".", options: Options = Options()):
         self.spark, self.data, self.options = spark, data.rstrip("/"), options
         self.catalog = Catalog(spark, root)
-        self.statistics = Statistics()
         self.output = "STDOUT"
         self.over = False
 
@@ -36,9 +34,13 @@ class Session:
         self.catalog.register(name, df)
 
     def register_folder(self, folder: str, names: list[str]) -> None:
-        """Tables over the Parquet files <name>.parquet of a folder."""
+        """Tables over the Parquet files <name>.parquet of a folder; a file is opened when its table is first used."""
         for name in names:
-            self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
+            self.catalog.promise(name, lambda name=name: self.spark.read.parquet(f"{folder}/{name}.parquet"))
+
+    def analyze(self, name: str, exact: bool = False) -> None:
+        """Collects the statistics of a table; INSERT does so by itself."""
+        self.catalog.collect_statistics(name, exact)
 
     def query(self, text: str) -> DataFrame:
         """A SELECT as a DataFrame, whatever the output mode."""
@@ -48,11 +50,13 @@ class Session:
         return lower(bind(statement, self.catalog, self.options), self.catalog, self.spark, self.options)
 
     def explain(self, text: str) -> str:
-        """The plan of a SELECT; nothing runs."""
+        """The plan of a SELECT, with the cheapest order and its estimates where all tables have statistics; nothing runs."""
         statement = parse(text, self.options.any_case)
         if not isinstance(statement, S.Select):
             raise BindError("this is no SELECT")
-        return describe(bind(statement, self.catalog, self.options), self.options)
+        bound = bind(statement, self.catalog, self.options)
+        order = cheapest_order(self.catalog.statistics, {t.alias: t.table for t in statement.tables}, statement.where)
+        return describe(bound, self.options, order)
 
     def sql(self, text: str) -> DataFrame | str | None:
         """Runs one statement. A SELECT gives its rows, its plan (SET OUTPUT NONE) or
@@ -89,12 +93,10 @@ class Session:
             found = self.sql(text)
             if isinstance(found, DataFrame):
                 schema = list(types_of(found).items())
-                rows = found.take(SHOWN_ROWS + 1)
-                for row in rows[:SHOWN_ROWS]:
+                # Partition after partition: all rows are shown, and one partition's are held.
+                for row in found.toLocalIterator():
                     show(console_line(row, schema))
-                if len(rows) > SHOWN_ROWS:
-                    show("... more rows; SET OUTPUT 'file' writes them all")
             elif found:
                 show(found)
-        except EngineError as e:
+        except (EngineError, PySparkException, Py4JError) as e:
             show(f"{type(e).__name__}: {e}")

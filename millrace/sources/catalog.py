@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql import types as T
 from ..errors import BindError
 from ..functions.expressions import quoted
 from ..plans import syntax as S
+from ..plans.estimator import Statistics
 from . import files
 from .layouts import Layout
-from .text import Schema
+from .text import Schema, read_table, write_table
 
 SPARK_TYPES = {S.INT: "bigint", S.DOUBLE: "double", S.STRING: "string"}
 
@@ -36,6 +38,8 @@ class Table:
     path: str = ""
     layout: str = "heap"
     sort_by: tuple[str, ...] = ()
+    #: Folder of the contents before the last load; those who read it may go on until the next one.
+    former: str = ""
     view: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def rows(self, spark: SparkSession) -> DataFrame:
@@ -49,13 +53,18 @@ class Table:
 
 
 class Catalog:
-    """Tables by name. With a root folder, created tables live there and the list is kept in catalog.json."""
+    """Tables by name, and the statistics of created ones. With a root folder, created
+    tables live there and all of it is kept in catalog.json, which changes in one step."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root, self.tables = spark, root.rstrip("/") if root else None, {}
+        self.spark, self.root, self.statistics = spark, root.rstrip("/") if root else None, Statistics()
+        self.tables: dict[str, Table] = {}
+        self.promised: dict[str, Callable[[], DataFrame]] = {}
         if self.root and files.exists(spark, self._file):
-            for x in json.loads(files.read_text(spark, self._file)):
-                self.tables[x["name"]] = Table(x["name"], [tuple(c) for c in x["columns"]], x["path"], x["layout"], tuple(x["sort_by"]))
+            kept = json.loads(files.read_text(spark, self._file))
+            for x in kept["tables"]:
+                self.tables[x["name"]] = Table(x["name"], [tuple(c) for c in x["columns"]], x["path"], x["layout"], tuple(x["sort_by"]), x["former"])
+            self.statistics = Statistics.read(kept["statistics"])
 
     @property
     def _file(self) -> str:
@@ -63,17 +72,31 @@ class Catalog:
 
     def _save(self) -> None:
         if self.root:
-            kept = [{k: v for k, v in asdict(_bare(t)).items() if k != "view"} for t in self.tables.values() if t.view is None]
-            files.write_text(self.spark, self._file, json.dumps(kept, indent=1))
+            kept = [t for t in self.tables.values() if t.view is None]
+            tables = [{k: v for k, v in asdict(_bare(t)).items() if k != "view"} for t in kept]
+            own = Statistics(self.statistics, only={t.name for t in kept})
+            files.write_text(self.spark, self._file, json.dumps({"tables": tables, "statistics": own.write()}, indent=1))
 
     def __contains__(self, name: str) -> bool:
-        return name in self.tables
+        return name in self.tables or name in self.promised
 
     def table(self, name: str) -> Table:
+        if name in self.promised:
+            self.register(name, self.promised.pop(name)())
         if name not in self.tables:
             raise BindError(f"no table {name}")
         return self.tables[name]
 
+    def promise(self, name: str, read: Callable[[], DataFrame]) -> None:
+        """A table over a DataFrame that is made when it is first asked for."""
+        self.tables.pop(name, None)
+        self.promised[name] = read
+
+    def collect_statistics(self, name: str, exact: bool = False) -> None:
+        """Counts the table's tuples and each column's distinct values, in one pass."""
+        self.statistics.collect(name, self.table(name).rows(self.spark), exact)
+        self._save()
+
     def register(self, name: str, df: DataFrame) -> Table:
         """A table over a DataFrame. Dates and timestamps show as text, year-month-day;
         columns of other types without a counterpart are left out."""
@@ -90,7 +113,7 @@ class Catalog:
 
     def create(self, name: str, columns: Schema, layout: str = "heap", sort_by: tuple[str, ...] = ()) -> bool:
         """An empty table; False, without any change, if there is one of that name."""
-        if name in self.tables:
+        if name in self:
             return False
         if not self.root:
             raise BindError("tables can be created only in a session with a root folder")
@@ -103,6 +126,7 @@ class Catalog:
         empty = self.spark.createDataFrame([], ", ".join(f"`{n}` {SPARK_TYPES[k]}" for n, k in columns))
         empty.write.mode("overwrite").parquet(table.path)
         self.tables[name] = table
+        self.statistics.clear(name, [c for c, _ in columns])
         self._save()
         return True
 
@@ -110,25 +134,47 @@ class Catalog:
         return f"{self.root}/{name}/{uuid.uuid4().hex}"
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Bulk load: the rows become the table's whole contents."""
+        """Bulk load: the rows become the table's whole contents, and are counted.
+
+        The contents before stay until the next load, for those who read them.
+        """
         table = self.table(name)
         if table.view is not None:
             raise BindError(f"{name} is a view")
-        old, table.path = table.path, self._folder(name)
-        table.stored_as.write(df, table.path)
-        self._save()
-        files.delete(self.spark, old)
+        path, gone = self._folder(name), table.former
+        table.stored_as.write(df, path)
+        table.path, table.former = path, table.path
+        self.collect_statistics(name)
+        if gone:
+            files.delete(self.spark, gone)
 
     def drop(self, name: str) -> None:
         table = self.table(name)
-        if table.view is None:
-            files.delete(self.spark, f"{self.root}/{name}")
         del self.tables[name]
+        self.statistics.drop(name)
         self._save()
+        if table.view is None:
+            files.delete(self.spark, f"{self.root}/{name}")
+
+    def open_text(self, path: str) -> list[str]:
+        """Takes up the tables of a text-form catalog whose files are delimited text beside it; their names."""
+        folder, found = path.rpartition("/")[0] or ".", from_text(files.read_text(self.spark, path))
+        for t in found:
+            place = t.path if "/" in t.path else f"{folder}/{t.path}"
+            self.register(t.name, read_table(self.spark, place, t.columns))
+        return [t.name for t in found]
+
+    def save_text(self, path: str, names: list[str] | None = None) -> None:
+        """Writes the text form of the named tables, or all, and their rows as delimited text beside it."""
+        tables = [self.table(n) for n in (sorted([*self.tables, *self.promised]) if names is None else names)]
+        folder = path.rpartition("/")[0] or "."
+        for t in tables:
+            write_table(t.rows(self.spark), f"{folder}/{t.name}.tbl", t.columns)
+        files.write_text(self.spark, path, to_text([Table(t.name, t.columns) for t in tables]))
 
 
 def _bare(table: Table) -> Table:
-    return Table(table.name, table.columns, table.path, table.layout, table.sort_by)
+    return Table(table.name, table.columns, table.path, table.layout, table.sort_by, table.former)
 
 
 def to_text(tables: list[Table]) -> str:

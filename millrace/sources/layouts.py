@@ -67,8 +67,12 @@ class KeyedTable:
     def insert(self, rows: DataFrame, path: str) -> KeyedTable:
         return self._rewritten(self.rows().unionByName(rows), path)
 
+    def _others(self, key) -> DataFrame:
+        """Rows of other keys, of the null key too."""
+        return self.rows().where(~self.key.eqNullSafe(F.lit(key)))
+
     def remove(self, key, path: str) -> KeyedTable:
-        return self._rewritten(self.rows().where(self.key != F.lit(key)), path)
+        return self._rewritten(self._others(key), path)
 
     def update(self, key, rows: DataFrame, path: str) -> KeyedTable:
-        return self._rewritten(self.rows().where(self.key != F.lit(key)).unionByName(rows), path)
+        return self._rewritten(self._others(key).unionByName(rows), path)

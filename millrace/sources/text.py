@@ -1,4 +1,8 @@
-"""Delimited text: every field ends with a bar, nothing is quoted, blanks count."""
+"""Delimited text: every field ends with a bar, nothing is quoted, blanks count.
+
+The text has no nulls: a null is written as an empty field, which reads back as
+an empty string or as 0.
+"""
 
 from __future__ import annotations
 
@@ -40,7 +44,7 @@ def parse_rows(spark: SparkSession, lines: list[str], schema: Schema) -> DataFra
 
 
 def to_lines(df: DataFrame, schema: Schema) -> DataFrame:
-    fields = [F.format_string(FORMATS[kind], quoted(name)) for name, kind in schema]
+    fields = [F.when(quoted(name).isNull(), F.lit("")).otherwise(F.format_string(FORMATS[kind], quoted(name))) for name, kind in schema]
     return df.select(F.concat(F.concat_ws("|", *fields), F.lit("|")).alias("value"))
 
 

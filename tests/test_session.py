@@ -152,3 +152,52 @@ def test_catalog_text():
     assert from_text(to_text(tables)) == tables
     with pytest.raises(BindError):
         from_text("BEGIN\na\na.tbl\nx Float\nEND")
+
+
+def test_a_shell_survives_errors_of_the_engine_below(own, tmp_path):
+    said = []
+    own.run("SELECT SUM (a.x / 0)" + FROM, said.append)
+    made = Session(own.spark, str(tmp_path / "root"), str(tmp_path))
+    made.sql("CREATE TABLE t (i INTEGER) AS HEAP")
+    made.run("INSERT 'missing.tbl' INTO t", said.append)
+    assert len(said) == 2 and all("Exception" in x for x in said)
+    own.run("SELECT a.x" + FROM, said.append)
+    assert len(said) == 6
+    big = Session(own.spark)
+    big.register("t", own.spark.range(2500).selectExpr("id as x"))
+    lines = []
+    big.run("SELECT a.x FROM t AS a WHERE (a.x > -1)", lines.append)
+    assert len(lines) == 2500
+
+
+def test_null_keys_and_null_fields(spark, tmp_path):
+    layout = Layout("tree", ("k",))
+    layout.write(spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k bigint, v string"), str(tmp_path / "a"))
+    t = KeyedTable(spark, str(tmp_path / "a"), layout)
+    assert sorted(r.v for r in t.remove(1, str(tmp_path / "b")).rows().collect()) == ["b", "c"]
+    assert sorted(r.v for r in t.update(2, spark.createDataFrame([(2, "d")], "k bigint, v string"), str(tmp_path / "c")).rows().collect()) == ["a", "b", "d"]
+    rows = spark.createDataFrame([(None, None, None)], "i bigint, s string, d double")
+    assert [r.value for r in to_lines(rows, SCHEMA).collect()] == ["|||"]
+
+
+def test_readers_outlive_one_load(spark, tmp_path):
+    (tmp_path / "t.tbl").write_text("1|\n2|\n")
+    own = Session(spark, str(tmp_path / "root"), str(tmp_path))
+    own.sql("CREATE TABLE t (i INTEGER) AS HEAP")
+    own.sql("INSERT 't.tbl' INTO t")
+    begun = own.query("SELECT a.i FROM t AS a WHERE (a.i > 0)")
+    own.sql("INSERT 't.tbl' INTO t")
+    assert begun.count() == 2
+    assert len(list((tmp_path / "root" / "t").iterdir())) == 2
+
+
+def test_cheapest_order_in_the_plan(spark):
+    own = Session(spark)
+    own.register("big", spark.range(1000).selectExpr("id as k", "id % 10 as g"))
+    own.register("small", spark.range(10).selectExpr("id as g"))
+    text = "SELECT b.k FROM big AS b, small AS s WHERE (b.g = s.g) AND (b.k = 7)"
+    assert "Cheapest" not in own.explain(text)
+    own.analyze("big", exact=True)
+    own.analyze("small", exact=True)
+    assert "Cheapest order, with estimated rows: b (1), s (1)" in own.explain(text)
+    assert "s (10), b (1000)" in own.explain(text.replace(" AND (b.k = 7)", ""))
