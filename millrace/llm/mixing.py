@@ -5,22 +5,32 @@ its size; what is above goes to the others by weight until none is above. A
 source's documents are put in an order drawn by a hash, and its words on a line
 in that order; its target covers the line so many whole times and a beginning of
 it once more. The taken line is cut in blocks. A tree splits the sources' exact
-numbers of blocks among the output shards: each node gives its left half a
-multivariate-hypergeometric draw of its blocks, so every shard gets as many
-blocks and a random mixture whose mean is the whole mixture. Each source then
-deals its blocks to the shards in a permuted order, and a shard shuffles its
-documents by another hash. All draws are hashes: reruns agree.
-
-Everything is DataFrame expressions. Places on a line come from sums of small
-buckets of the hash order, so a source with a third of all rows is no task of its own.
+numbers of blocks among the output shards: each node draws half of its blocks
+without replacement, which gives its left half a multivariate-hypergeometric
+number of each source's, so every shard gets as many blocks and a random mixture
+whose mean is the whole mixture. Each source then deals its blocks to the shards
+in a permuted order. What is taken of a document are the words of it that lie in
+dealt blocks. A shard shuffles its documents by another hash. All draws are
+hashes: reruns agree.
+
+Everything is DataFrame expressions. Numbers follow the size of the mix: shards
+hold about WORDS_PER_SHARD words, so the tree has BLOCKS_PER_SHARD rows for each
+of them, and its root, which is one task, some millions at 100 TB; the hash order
+is cut in buckets of about BUCKET_ROWS documents, whose sums give the places on
+the lines, so a source with a third of all rows is no task of its own. Sources
+are rows, never a list; targets take one sort of them. Texts take no part but in
+the last join.
 
 Defined results: a null text has size 0 and nothing is taken of it; the null
 source is a source, after all others; rows repeated in the input are documents
-each; a null key is kept; other columns don't matter; empty tables give empty results.
+each; a null key is kept; a document longer than a block lies in several; other
+columns don't matter, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +39,15 @@ from . import scratch
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times.
 MOST = 3
-#: Output shards (a power of two), and blocks of each.
-SHARDS = 64
+#: Output shards: a power of two, at least LEAST_SHARDS, and blocks of each.
+LEAST_SHARDS = 16
+WORDS_PER_SHARD = 1 << 27
 BLOCKS_PER_SHARD = 64
-#: Hexadecimal digits of the hash order that make a bucket.
-BUCKET_DIGITS = 3
+#: Parts of a shard, each for a task of its own, when the mix is written.
+SLICES = 8
+#: Documents of a bucket of the hash order, on average, at most; and its least number of hexadecimal digits.
+BUCKET_ROWS = 1 << 19
+BUCKET_DIGITS = 2
 SEED = 20
 
 
@@ -70,106 +84,152 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return left.select("name", "source_size", share.otherwise((F.col("weight") * level["rest"]) / level["open"]).alias("target"))
 
 
-def _draw(node: Column, quotas: Column) -> Column:
-    """A multivariate-hypergeometric draw of half of a node's blocks: the left quotas, in the sources' order."""
-    total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, x: a + x["quota"])
-    state = F.struct((total.cast("long") - F.floor(total / 2)).alias("want"), total.alias("left"), F.array().cast("array<long>").alias("drawn"))
+def _drawn(*parts: Column | int | str) -> Column:
+    """A draw: a text whose order is random, and the same in every run."""
+    return F.md5(F.concat_ws("|", F.lit(str(SEED)), *((x if isinstance(x, Column) else F.lit(str(x))).cast("string") for x in parts)))
 
-    def source(s: Column, x: Column) -> Column:
-        # Block after block: it goes left with the odds of what the left half still wants.
-        balls = F.when(x["quota"] > 0, F.sequence(F.lit(1).cast("long"), x["quota"])).otherwise(F.array().cast("array<long>"))
-        start = F.struct(s["want"].alias("want"), s["left"].alias("left"), F.lit(0).cast("long").alias("got"))
 
-        def ball(t: Column, i: Column) -> Column:
-            hit = (F.pmod(F.xxhash64(F.lit(SEED), node, x["name"], i), t["left"]) < t["want"]).cast("long")
-            return F.struct((t["want"] - hit).alias("want"), (t["left"] - 1).alias("left"), (t["got"] + hit).alias("got"))
+def _each(quota: str, first: int) -> Column:
+    return F.explode(F.sequence(F.lit(first).cast("long"), F.col(quota).cast("long") + (first - 1)))
 
-        return F.aggregate(balls, start, ball, lambda t: F.struct(t["want"].alias("want"), t["left"].alias("left"), F.concat(s["drawn"], F.array(t["got"])).alias("drawn")))
 
-    return F.aggregate(quotas, state, source, lambda s: s["drawn"])
+def split(nodes: DataFrame) -> DataFrame:
+    """node, name, quota of both halves of each node, from its own: exact numbers of blocks of each source.
+
+    A node's blocks are drawn without replacement; the first half of the draws,
+    the odd one too, goes left. Halves keep no row for sources that they have none of.
+    """
+    blocks = nodes.select("node", "name", _each("quota", 1).alias("i"))
+    drawn = Window.partitionBy("node").orderBy(_drawn(F.col("node"), F.col("name"), F.col("i")), "name", "i")
+    half = F.ceil(F.count("*").over(Window.partitionBy("node")) / 2)
+    counted = blocks.withColumn("goes", (F.row_number().over(drawn) <= half).cast("long")).groupBy("node", "name").agg(F.sum("goes").alias("l"), F.count("*").alias("n"))
+    halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("l").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("n") - F.col("l")).alias("quota")))
+    return counted.select("name", F.explode(halves).alias("h")).select("h.node", "name", "h.quota").where(F.col("quota") > 0)
 
 
-def splitting_tree(blocks: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """name and, for each of the source's blocks, its shard; from name and n_blocks of each source."""
-    if shards & (shards - 1):
+def splitting_tree(blocks: DataFrame, shards: int) -> DataFrame:
+    """name, block (from 0), shard of all blocks; from name and n_blocks of each source."""
+    if shards < 1 or shards & (shards - 1):
         raise ValueError("the number of shards is a power of two")
-    kind = "array<struct<name:string,quota:long>>"
-    nodes = blocks.agg(F.array_sort(F.collect_list(F.struct(F.col("name"), F.col("n_blocks").cast("long").alias("quota")))).cast(kind).alias("quotas")).select(F.lit(1).cast("long").alias("node"), "quotas")
+    some = blocks.where(F.col("n_blocks") > 0)
+    nodes = some.select(F.lit(1).cast("long").alias("node"), "name", F.col("n_blocks").cast("long").alias("quota"))
     for _ in range(shards.bit_length() - 1):
-        split = nodes.withColumn("drawn", _draw(F.col("node"), F.col("quotas")))
-        left = F.zip_with("quotas", "drawn", lambda q, n: F.struct(q["name"].alias("name"), n.alias("quota"))).cast(kind)
-        right = F.zip_with("quotas", "drawn", lambda q, n: F.struct(q["name"].alias("name"), (q["quota"] - n).alias("quota"))).cast(kind)
-        halves = F.array(F.struct((F.col("node") * 2).alias("node"), left.alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas")))
-        nodes = split.select(F.explode(halves).alias("half")).select("half.node", "half.quotas")
-    leaves = nodes.select((F.col("node") - shards).cast("int").alias("shard"), F.explode("quotas").alias("q")).select("shard", "q.name", "q.quota")
-    dealt = leaves.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("quotas"))
-    runs = F.flatten(F.transform("quotas", lambda x: F.array_repeat(x["shard"], x["quota"].cast("int"))))
-    mixed = F.array_sort(F.transform(runs, lambda shard, i: F.struct(F.xxhash64(F.lit(SEED + 1), F.col("name"), i).alias("at"), i.alias("i"), shard.alias("shard"))))
-    return dealt.select("name", F.transform(mixed, lambda x: x["shard"]).alias("shards"))
-
-
-def draw(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
-    """The documents, as a struct `row`, with size, source_size, target and `copies`.
-
-    `copies` is an array of (copy, words, shard): so many words of the document's
-    beginning are taken, in that shard; a document that is not taken has none.
-    """
-    sized = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        _source(F.col(source)).alias("name"),
-        n_words(F.col(text)).alias("size"),
-        _order(F.col(key), F.col(text)).alias("order"),
-    ).withColumn("bucket", F.substring("order", 1, BUCKET_DIGITS))
+        nodes = split(nodes)
+    own = Window.partitionBy("name")
+    seats = nodes.select((F.col("node") - shards).alias("shard"), "name", _each("quota", 1).alias("i")).withColumn("seat", F.row_number().over(own.orderBy("shard", "i")))
+    dealt = some.select("name", _each("n_blocks", 0).alias("block")).withColumn("seat", F.row_number().over(own.orderBy(_drawn("deal", F.col("name"), F.col("block")), "block")))
+    return dealt.join(seats, ["name", "seat"]).select("name", "block", "shard")
+
+
+@dataclass
+class Draw:
+    """What is drawn: `placed`, the documents on their sources' lines, with `copies`
+    (copy, begin, words: what the target covers of each time the line is run
+    through); `tree`, the blocks' shards; `block`, their length."""
+
+    placed: DataFrame
+    tree: DataFrame
+    block: int
+    shards: int
+
+    def pieces(self) -> DataFrame:
+        """The parts of documents in dealt blocks: columns of `placed`, copy, block, words, shard."""
+        taken = self.placed.select("*", F.explode("copies").alias("c")).drop("copies")
+        first, last = (F.floor(x / self.block) for x in (F.col("c.begin"), F.col("c.begin") + F.col("c.words") - 1))
+        cut = taken.withColumn("block", F.explode(F.sequence(first, last)))
+        end = F.least(F.col("c.begin") + F.col("c.words"), (F.col("block") + 1) * self.block)
+        cut = cut.withColumn("words", end - F.greatest(F.col("c.begin"), F.col("block") * self.block)).withColumn("copy", F.col("c.copy"))
+        return cut.join(self.tree, ["name", "block"])
+
+
+def _draw(sized: DataFrame, weights: tuple[int, ...]) -> Draw:
+    """From name, size and order of the documents; further columns stay."""
+    n, digits = sized.count(), BUCKET_DIGITS
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
+    sized = sized.withColumn("bucket", F.substring("order", 1, digits))
     buckets = scratch.store(sized.groupBy("name", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     aims = targets(buckets.groupBy("name").agg(F.sum("n").alias("source_size")), weights)
-    aims = aims.withColumn("wanted", F.floor(F.col("target") + 0.5))
-    aims = aims.withColumn("block", F.greatest(F.lit(1), F.ceil(F.sum("wanted").over(Window.partitionBy()) / (shards * BLOCKS_PER_SHARD))))
-    aims = scratch.store(aims, "mix-targets")
-    tree = splitting_tree(aims.select("name", F.ceil(F.col("wanted") / F.col("block")).alias("n_blocks")), shards)
-    plan = scratch.store(aims.join(tree, "name"), "mix-plan")
+    aims = scratch.store(aims.withColumn("wanted", F.floor(F.col("target") + 0.5)), "mix-targets")
+    total, shards = aims.agg(F.sum("wanted")).first()[0] or 0, LEAST_SHARDS
+    while shards * WORDS_PER_SHARD < total:
+        shards *= 2
+    block = max(1, -(-total // (shards * BLOCKS_PER_SHARD)))
+    tree = splitting_tree(aims.select("name", F.ceil(F.col("wanted") / block).alias("n_blocks")), shards)
+    tree = scratch.store(tree, "mix-tree", keep=True)
+
     line = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = buckets.withColumn("base", F.coalesce(F.sum("n").over(line), F.lit(0))).select("name", "bucket", "base")
+    bases = buckets.withColumn("base", F.coalesce(F.sum("n").over(line), F.lit(0))).select("name", "bucket", "base").join(aims, "name")
     bases = scratch.store(bases, "mix-bases")
-
     inside = Window.partitionBy("name", "bucket").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["name", "bucket"]).join(plan, "name")
-    begin = F.col("base") + F.col("inside")
+    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["name", "bucket"])
+    placed = placed.withColumn("begin", F.col("base") + F.col("inside")).drop("base", "inside", "bucket")
     whole = F.when(F.col("source_size") > 0, F.expr("wanted div source_size")).otherwise(F.lit(0)).cast("int")
-    rest = F.col("wanted") - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(rest - begin, F.col("size")))
+    part = F.greatest(F.lit(0), F.least(F.col("wanted") - whole * F.col("source_size") - F.col("begin"), F.col("size")))
     numbers = F.when(F.col("size") > 0, F.filter(F.sequence(F.lit(0), F.lit(MOST)), lambda c: (c < whole) | (c == whole) & (part > 0))).otherwise(F.array().cast("array<int>"))
     copies = F.transform(
         numbers,
-        lambda c: F.struct(
-            c.alias("copy"),
-            F.when(c < whole, F.col("size")).otherwise(part).alias("words"),
-            F.element_at("shards", (F.floor((c * F.col("source_size") + begin) / F.col("block")) + 1).cast("int")).alias("shard"),
-        ),
+        lambda c: F.struct(c.alias("copy"), (c * F.col("source_size") + F.col("begin")).alias("begin"), F.when(c < whole, F.col("size")).otherwise(part).alias("words")),
     )
-    return placed.select("row", "order", "size", "source_size", "target", copies.alias("copies"))
+    return Draw(scratch.store(placed.withColumn("copies", copies).drop("wanted"), "mix-placed", keep=True), tree, block, shards)
 
 
-def taken(docs: DataFrame, key: str = "doc_id", **names) -> DataFrame:
-    """One row per document: key, size, source_size, target, taken (words, repeats counted)."""
-    drawn = draw(docs, key=key, **names)
-    words = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return drawn.select(F.col("row").getField(key).alias(key), "size", "source_size", "target", words.alias("taken"))
+def _sized(docs: DataFrame, key: str, text: str, source: str, *more: Column) -> DataFrame:
+    """The one pass over the texts for names, sizes and the hash order."""
+    own = docs.select(_source(F.col(source)).alias("name"), n_words(F.col(text)).alias("size"), _order(F.col(key), F.col(text)).alias("order"), *more)
+    return scratch.store(own, "mix-sized")
 
 
-def mix(docs: DataFrame, **names) -> DataFrame:
+def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """One row per document: key, size, source_size, target, taken (words, repeats counted), parts.
+
+    `parts` lists the shards and words of its parts, as shard:words, in the order of the line.
+    """
+    with scratch.temporary(docs.sparkSession):
+        drawn = _draw(_sized(docs, key, text, source, F.col(key).alias("doc_key")), weights)
+    columns = ["doc_key", "size", "source_size", "target"]
+    # No two documents with words begin at one place of a line.
+    grouped = drawn.pieces().groupBy("name", "begin").agg(
+        *(F.first(c).alias(c) for c in columns), F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("copy", "block", "shard", "words"))).alias("parts")
+    )
+    parts = F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["words"].cast("string"))), ",")
+    some = grouped.select(*columns, "taken", parts.alias("parts"))
+    none = drawn.placed.where(F.size("copies") == 0).select(*columns, F.lit(0).cast("long").alias("taken"), F.lit("").alias("parts"))
+    return some.unionByName(none).withColumnRenamed("doc_key", key)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mixed documents, whole, with their columns: one row for each copy, shard by shard, shuffled inside a shard.
 
-    The document at the end of a source's target is taken once more if at least
-    half of it fits.
+    A document lies in the shard of the block in which its copy begins. Documents
+    are not cut: one that the end of a source's target cuts is taken once more
+    if at least half of it fits.
     """
-    drawn = draw(docs, **names)
-    copies = F.filter("copies", lambda x: x["words"] * 2 >= F.col("size"))
-    rows = drawn.select("row", "order", F.explode(copies).alias("c")).select("row", "c.shard", F.xxhash64(F.lit(SEED + 2), "order", "c.copy").alias("at"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "at").select("row.*")
+    # Rows that are equal in all columns are told apart by nothing, and need not be.
+    same = [F.xxhash64(F.lit(i), *(F.col(f"`{c}`") for c in docs.columns)).alias(f"same{i}") for i in (1, 2)]
+    with scratch.temporary(docs.sparkSession):
+        drawn = _draw(_sized(docs, key, text, source, *same), weights)
+    copies = drawn.placed.select("name", "order", "size", "begin", "same1", "same2", F.explode("copies").alias("c")).where(F.col("c.words") * 2 >= F.col("size"))
+    copies = copies.withColumn("block", F.floor(F.col("c.begin") / drawn.block)).join(drawn.tree, ["name", "block"])
+    copies = copies.select("same1", "same2", "shard", F.xxhash64(F.lit(SEED + 2), "order", "c.copy", "begin").alias("at"))
+    copies = copies.withColumn("slot", F.col("shard") * SLICES + F.pmod("at", F.lit(SLICES)))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *same).dropDuplicates(["same1", "same2"])
+    out = rows.join(copies, ["same1", "same2"]).select("row", "slot", "at")
+    return out.repartition("slot").sortWithinPartitions("slot", "at").select("row.*")
 
 
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:
-    """The rows of `taken` over `documents` in DuckDB's SQL; the split into shards doesn't change them."""
+    """The rows of `taken` over `documents` in DuckDB's SQL, for mixes of LEAST_SHARDS shards."""
+    levels = LEAST_SHARDS.bit_length() - 1
+    split = "".join(
+        f"""
+    b{k} AS (SELECT node, name, unnest(range(1, quota + 1)) AS i FROM n{k}),
+    r{k} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5('{SEED}|' || node || '|' || name || '|' || i), name, i) <= ceil(count(*) OVER (PARTITION BY node) / 2) AS goes FROM b{k}),
+    n{k + 1} AS (SELECT * FROM (
+      SELECT 2 * node AS node, name, CAST(count(*) FILTER (goes) AS BIGINT) AS quota FROM r{k} GROUP BY node, name UNION ALL
+      SELECT 2 * node + 1, name, CAST(count(*) FILTER (NOT goes) AS BIGINT) FROM r{k} GROUP BY node, name) WHERE quota > 0),"""
+        for k in range(levels)
+    )
     return f"""
     WITH d AS (
       SELECT doc_id, coalesce('s' || source, 't') AS name,
@@ -191,10 +251,19 @@ def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:
                   ELSE CAST(c.weight * x.rest AS DOUBLE) / CAST(x.open AS DOUBLE) END AS target
       FROM c CROSS JOIN f LEFT JOIN c x ON x.place = f.place),
     p AS (
-      SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS wanted,
-             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.name ORDER BY d.o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-      FROM d JOIN t USING (name))
-    SELECT doc_id, size, source_size, target,
-           CAST(CASE WHEN source_size = 0 THEN 0
-                     ELSE (wanted // source_size) * size + greatest(0, least(wanted % source_size - start, size)) END AS BIGINT) AS taken
-    FROM p"""
+      SELECT d.doc_id, d.name, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS wanted,
+             CAST(coalesce(sum(d.size) OVER (PARTITION BY d.name ORDER BY d.o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+             row_number() OVER () AS id
+      FROM d JOIN t USING (name)),
+    k AS (SELECT CAST(greatest(1, ceil(coalesce(sum(CAST(floor(target + 0.5) AS BIGINT)), 0) / {LEAST_SHARDS * BLOCKS_PER_SHARD})) AS BIGINT) AS block FROM t),
+    nb AS (SELECT name, CAST(ceil(CAST(floor(target + 0.5) AS BIGINT) / block) AS BIGINT) AS n_blocks FROM t, k),
+    n0 AS (SELECT CAST(1 AS BIGINT) AS node, name, n_blocks AS quota FROM nb WHERE n_blocks > 0),{split}
+    seats AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY shard, i) AS seat FROM (SELECT node - {LEAST_SHARDS} AS shard, name, unnest(range(1, quota + 1)) AS i FROM n{levels})),
+    deal AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5('{SEED}|deal|' || name || '|' || block), block) AS seat FROM (SELECT name, unnest(range(0, n_blocks)) AS block FROM nb)),
+    tree AS (SELECT deal.name, deal.block, shard FROM deal JOIN seats USING (name, seat)),
+    c1 AS (SELECT *, unnest(range(0, {most + 1})) AS copy FROM p WHERE size > 0),
+    c2 AS (SELECT *, copy * source_size + start AS first, CASE WHEN copy < wanted // source_size THEN size WHEN copy = wanted // source_size THEN greatest(0, least(wanted % source_size - start, size)) ELSE 0 END AS words FROM c1),
+    c3 AS (SELECT *, unnest(range(first // (SELECT block FROM k), (first + words - 1) // (SELECT block FROM k) + 1)) AS b FROM c2 WHERE words > 0),
+    c4 AS (SELECT c3.id, c3.copy, c3.b, tree.shard, least(first + words, (b + 1) * (SELECT block FROM k)) - greatest(first, b * (SELECT block FROM k)) AS n FROM c3 JOIN tree ON tree.name = c3.name AND tree.block = c3.b),
+    c5 AS (SELECT id, CAST(sum(n) AS BIGINT) AS taken, string_agg(shard || ':' || n, ',' ORDER BY copy, b) AS parts FROM c4 GROUP BY id)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(parts, '') AS parts FROM p LEFT JOIN c5 USING (id)"""

@@ -1,6 +1,7 @@
+import re
+
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from millrace.llm import mixing as M
 from millrace.llm.queries import ORACLE_SQL, QUERIES
@@ -65,22 +66,58 @@ def test_targets(spark, sizes):
 
 def test_the_tree_keeps_quotas_and_levels_shards(spark):
     quotas = {"a": 400, "b": 57, "c": 1, "d": 0, "e": 70}
-    tree = {r.name: r.shards for r in M.splitting_tree(spark.createDataFrame(list(quotas.items()), "name string, n_blocks long"), 8).collect()}
-    assert {k: len(v) for k, v in tree.items()} == quotas
-    every = [s for v in tree.values() for s in v]
+    rows = M.splitting_tree(spark.createDataFrame(list(quotas.items()), "name string, n_blocks long"), 8).collect()
+    assert sorted((r.name, r.block) for r in rows) == sorted((k, i) for k, n in quotas.items() for i in range(n))
+    every = [r.shard for r in rows]
     assert sorted(set(every)) == list(range(8)) and max(map(every.count, range(8))) - min(map(every.count, range(8))) <= 1
-    share = [tree["a"].count(s) for s in range(8)]
+    share = [sum(r.name == "a" and r.shard == s for r in rows) for s in range(8)]
     assert len(set(share)) > 1 and all(30 < n < 66 for n in share)  # 50 on average, drawn
     with pytest.raises(ValueError):
         M.splitting_tree(spark.createDataFrame([("a", 1)], "name string, n_blocks long"), 6)
 
 
+def test_halves_are_hypergeometric(spark):
+    """Of 20 blocks, 6 of them of a, half go left: 3 of a on average, with the variance of draws without replacement."""
+    nodes = spark.createDataFrame([(n, name, q) for n in range(1, 601) for name, q in (("a", 6), ("b", 14))], "node long, name string, quota long")
+    left = {r.node // 2: r.quota for r in M.split(nodes).where("name = 'a' and node % 2 = 0").collect()}
+    got = [left.get(n, 0) for n in range(1, 601)]
+    mean = sum(got) / 600
+    assert abs(mean - 3) < 0.2 and abs(sum((x - mean) ** 2 for x in got) / 600 - 10 * 0.3 * 0.7 * 10 / 19) < 0.25
+
+
+def test_taken_words_lie_in_dealt_blocks(docs):
+    """Every block is full but for the last of its source, and shards differ by a block of each source at most."""
+    rows = M.taken(docs).collect()
+    for r in rows:
+        parts = [tuple(map(int, x.split(":"))) for x in r.parts.split(",") if x]
+        assert sum(n for _, n in parts) == r.taken and all(0 <= s < M.LEAST_SHARDS and n > 0 for s, n in parts)
+    by = {}
+    for r in rows:
+        for x in r.parts.split(","):
+            if x:
+                s, n = map(int, x.split(":"))
+                by[s] = by.get(s, 0) + n
+    assert len(by) == M.LEAST_SHARDS and max(by.values()) - min(by.values()) < 0.1 * max(by.values())
+
+
+def test_sizes_do_not_change_what_is_taken(docs, monkeypatch):
+    base = sorted((r.doc_id or 0, r.size, r.taken) for r in M.taken(docs).collect())
+    monkeypatch.setattr(M, "WORDS_PER_SHARD", 500)
+    monkeypatch.setattr(M, "BUCKET_ROWS", 1)
+    assert sorted((r.doc_id or 0, r.size, r.taken) for r in M.taken(docs).collect()) == base
+
+
 def test_mixed_documents(docs):
     out = M.mix(docs)
     assert out.columns == docs.columns
     rows = [tuple(r) for r in out.collect()]
     assert rows == [tuple(r) for r in M.mix(docs).collect()]  # reruns agree, in order too
     assert set(rows) <= set(ROWS)
-    taken = M.draw(docs).select(F.explode("copies").alias("c")).select("c.*").collect()
-    assert all(0 <= c.shard < M.SHARDS for c in taken)
+    # Every document as often as its copies say, rows that are repeated too.
+    words = {r[0]: 0 for r in ROWS}
+    for r in rows:
+        words[r[0]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    for r in M.taken(docs).collect():
+        if r.doc_id not in (5, 903):
+            assert abs(words[r.doc_id] - r.taken) <= r.size / 2 + 1
     assert M.mix(docs.limit(0)).count() == 0 and M.taken(docs.limit(0)).count() == 0
