@@ -18,13 +18,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 
-from . import vectors
+from . import scratch, vectors
 
 LOWEST = np.iinfo(np.int64).min
 
 
 def quantise(matrix: np.ndarray, scale: int = 1024) -> np.ndarray:
-    """floor(scale * x) as bytes of 64-bit integers."""
+    """floor(scale * x) as 64-bit integers."""
     return np.floor(matrix * scale).astype("<i8")
 
 
@@ -50,8 +50,8 @@ def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
 def top_k(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """Each query's k candidates of the largest integer inner product: query_id, rank, vec_id, score."""
 
-    def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, postings = q.view("<i8"), np.ascontiguousarray(c.view("<i8").T)
+    def best(q_ids: np.ndarray, q: bytes, c_ids: np.ndarray, c: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, postings = np.frombuffer(q, "<i8").reshape(len(q_ids), width), np.frombuffer(c, "<i8").reshape(width, len(c_ids))
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(q), 128):
             scores = accumulate(q[at : at + 128], postings)
@@ -66,4 +66,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
         return tuple(map(np.concatenate, zip(*found)))
 
     own = vectors.usable(rows, key, vector)
-    return vectors.search(own, is_query, k, lambda m: quantise(m, scale), best, "long")
+    with scratch.temporary(rows.sparkSession):
+        queries = vectors.blocks(own.where(is_query), vectors.QUERY_BLOCK, lambda m: quantise(m, scale).tobytes(), "query-blocks")
+        # A candidate block is inverted when it is written: a row of postings for each term.
+        candidates = vectors.blocks(own, vectors.CANDIDATE_BLOCK, lambda m: np.ascontiguousarray(quantise(m, scale).T).tobytes(), "candidate-blocks")
+        return scratch.store(vectors.search(queries, candidates, k, best, "long"), "top-k", keep=True)

@@ -1,10 +1,12 @@
 """What both vector searches share: usable rows, and blocks of queries and candidates.
 
-A stated set of queries meets all candidates in blocks: queries are gathered in
-blocks of a fixed number of rows, each candidate batch is one block, and every
-pair of blocks meets once through an equi-join on the query block's number. A
-task keeps, for the pairs of blocks that it gets, only the best rows of each
-query; the rest of the merging is a ranking per query.
+A stated set of queries meets all candidates in blocks, which are written once.
+Blocks are dealt to cells, a few query blocks by a few candidate blocks: a
+candidate block is sent to each group of query blocks, a query block to each
+group of candidate blocks, and a cell is one key of the join. So a task reads
+its cell's blocks and never all candidates, and more machines take more cells. A
+task keeps, for each query of a cell, only the best rows; the rest of the merging
+is a ranking per query.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from . import scratch
 QUERY_BLOCK = 2048
 #: Candidates of a block.
 CANDIDATE_BLOCK = 4096
+#: Query blocks, and candidate blocks, of a cell at most.
+CELL = 16
 
 
 def usable(rows: DataFrame, key: str, vector: str, nonzero: bool = False) -> DataFrame:
@@ -39,8 +43,8 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(column.offsets.to_numpy())
 
 
-def pack_blocks(batches: Iterator[pa.RecordBatch], rows: int, code: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Blocks of at most `rows` vectors of one width; `code` makes their matrix."""
+def pack_blocks(batches: Iterator[pa.RecordBatch], rows: int, code: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most `rows` vectors of one width; `code` turns their matrix into what is kept."""
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             batch = whole.slice(at, rows)
@@ -52,60 +56,79 @@ def pack_blocks(batches: Iterator[pa.RecordBatch], rows: int, code: Callable[[np
                 own = np.flatnonzero(widths == width)
                 matrix = values[(ends[own] - width)[:, None] + np.arange(width)]
                 keys.append(ids[own].astype("<i8").tobytes())
-                blocks.append(np.ascontiguousarray(code(matrix)).tobytes())
+                blocks.append(code(matrix))
                 sizes.append(int(width))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blocks, pa.binary()), pa.array(sizes, pa.int32())], ["ids", "vectors", "width"])
-
-
-def search(
-    rows: DataFrame,
-    is_query: Column,
-    k: int,
-    code: Callable[[np.ndarray], np.ndarray],
-    best: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
-    score_type: str,
-) -> DataFrame:
-    """The k best candidates of each query: query_id, rank, vec_id, score.
-
-    `rows` has vec_key and vector. `code` turns vectors into the matrix that is
-    kept in a block, `best(query ids, queries, candidate ids, candidates)` returns
-    query positions, candidate positions and scores, k best or more of each query.
-    Only vectors of one width meet.
-    """
-    kinds = "ids binary, vectors binary, width int"
-    queries = rows.where(is_query).mapInArrow(lambda it: pack_blocks(_gather(it, QUERY_BLOCK), QUERY_BLOCK, code), kinds)
-    # Numbers are drawn once, when a block is written.
-    queries = scratch.store(queries.withColumn("id", F.monotonically_increasing_id()), "query-blocks")
-    candidates = rows.mapInArrow(lambda it: pack_blocks(_gather(it, CANDIDATE_BLOCK), CANDIDATE_BLOCK, code), kinds).withColumn("c_block", F.monotonically_increasing_id())
-    candidates = scratch.store(candidates, "candidate-blocks")
-    numbered = queries.select("id", "width", F.row_number().over(Window.partitionBy("width").orderBy("id")).alias("q_block"))
-    numbered = scratch.store(numbered, "query-block-numbers")
-    blocks = numbered.groupBy("width").agg(F.max("q_block").alias("n"))
-    queries = queries.join(numbered.select("id", "q_block"), "id")
-    # Each block of candidates meets each block of queries of its width: a known list, no search for partners.
-    meetings = candidates.select("c_block", "width").join(blocks, "width").select("c_block", "width", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("q_block"))
-    left = queries.select("q_block", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "width")
-    right = candidates.select("c_block", F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    pairs = meetings.join(right, "c_block").join(left, ["width", "q_block"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blocks, pa.binary()), pa.array(sizes, pa.int32())], ["ids", "held", "width"])
+
+
+def blocks(rows: DataFrame, size: int, code: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """A stored table of blocks: width, number (from 0, within the width), ids, held."""
+    made = rows.mapInArrow(lambda it: pack_blocks(_gather(it, size), size, code), "ids binary, held binary, width int")
+    # Ids are drawn once, when a block is written; the numbers come from them.
+    made = scratch.store(made.withColumn("id", F.monotonically_increasing_id()), name)
+    numbers = made.select("id", (F.row_number().over(Window.partitionBy("width").orderBy("id")) - 1).alias("number"))
+    return made.join(scratch.store(numbers, f"{name}-numbers"), "id").drop("id")
+
+
+def _cells(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The blocks of each cell (width, q_group, c_group), every pair of blocks of one width once."""
+    n, tasks = candidates.count(), queries.sparkSession.sparkContext.defaultParallelism
+    # Small tables are cut finer, so that all tasks have work.
+    sizes = {"q": CELL, "c": int(min(CELL, max(1, n // (3 * tasks))))}
+    sides = {}
+    for x, table in (("q", queries), ("c", candidates)):
+        sides[x] = table.select("width", F.floor(F.col("number") / sizes[x]).alias(f"{x}_group"), F.col("number").alias(f"{x}_block"), F.col("ids").alias(f"{x}_ids"), F.col("held").alias(f"{x}_held"))
+    groups = {x: table.groupBy("width").agg(F.floor(F.max("number") / sizes[x]).alias("last")) for x, table in (("q", queries), ("c", candidates))}
+    left = sides["q"].join(groups["c"], "width").withColumn("c_group", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
+    right = sides["c"].join(groups["q"], "width").withColumn("q_group", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
+    return right.join(left, ["width", "q_group", "c_group"])
+
+
+Best = Callable[[np.ndarray, bytes, np.ndarray, bytes, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+
+def search(queries: DataFrame, candidates: DataFrame, k: int, best: Best, score_type: str) -> DataFrame:
+    """The k best candidates of each query: query_id, rank, vec_id, score; from two tables of `blocks`.
+
+    `best(query ids, queries, candidate ids, candidates, width)` returns query
+    positions, candidate positions and scores, k best or more of each query.
+    """
     kind = np.float64 if score_type == "double" else np.int64
 
+    def top(q_ids: np.ndarray, c_ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Of each query the k best; ties to the smaller id.
+        order = np.lexsort((c_ids, -scores, q_ids))
+        q_ids, c_ids, scores = q_ids[order], c_ids[order], scores[order]
+        begins = np.flatnonzero(np.append(True, q_ids[1:] != q_ids[:-1])) if len(q_ids) else np.array([], np.int64)
+        place = np.arange(len(q_ids)) - np.repeat(begins, np.diff(np.append(begins, len(q_ids))))
+        return q_ids[place < k], c_ids[place < k], scores[place < k]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for q_ids, c_ids, scores in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(c_ids), pa.array(scores.astype(kind))], ["query_id", "vec_id", "score"])
+            held.clear()
+
         for whole in batches:
             for at in range(whole.num_rows):
-                row = {c: whole.column(c)[at] for c in ("q_ids", "q_vectors", "c_ids", "c_vectors")}
+                row = {c: whole.column(c)[at] for c in whole.schema.names}
+                here = tuple(row[c].as_py() for c in ("width", "q_group", "c_group"))
+                if here != cell:
+                    yield from flush()
+                    cell = here
                 q_ids, c_ids = (np.frombuffer(row[c].as_buffer(), "<i8") for c in ("q_ids", "c_ids"))
-                q, c = (np.frombuffer(row[x].as_buffer(), np.uint8).reshape(len(ids), -1) for x, ids in (("q_vectors", q_ids), ("c_vectors", c_ids)))
-                q_at, c_at, scores = best(q_ids, q, c_ids, c)
-                # Of each query the k best of this block; ties to the smaller id.
-                order = np.lexsort((c_ids[c_at], -scores, q_at))
-                q_at, c_at, scores = q_at[order], c_at[order], scores[order]
-                begins = np.flatnonzero(np.append(True, q_at[1:] != q_at[:-1])) if len(q_at) else np.array([], np.int64)
-                place = np.arange(len(q_at)) - np.repeat(begins, np.diff(np.append(begins, len(q_at))))
-                keep = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q_at[keep]]), pa.array(c_ids[c_at[keep]]), pa.array(scores[keep].astype(kind))], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("q_ids", "q_vectors", "c_ids", "c_vectors").mapInArrow(meet, f"query_id long, vec_id long, score {score_type}")
+                i, j, scores = best(q_ids, row["q_held"].as_buffer(), c_ids, row["c_held"].as_buffer(), here[0])
+                found, block = (q_ids[i], c_ids[j], scores), row["q_block"].as_py()
+                if block in held:
+                    found = tuple(map(np.concatenate, zip(held[block], found)))
+                held[block] = top(*found)
+        yield from flush()
+
+    cells = _cells(queries, candidates)
+    columns = ["width", "q_group", "c_group", "q_block", "q_ids", "q_held", "c_ids", "c_held"]
+    found = cells.select(*columns).mapInArrow(meet, f"query_id long, vec_id long, score {score_type}")
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -87,8 +87,52 @@ def test_accumulation_is_exact_for_large_weights():
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 256, (2000, 4)).astype(np.uint8)
-    index = H.Index(codes)
+    built = H.Index.build(np.zeros((2000, 3)), codes)
+    index = H.Index.read(built.write(), 2000, 3, 32)  # as it comes from a stored block
+    assert (index.codes == codes).all() and (index.begins == built.begins).all()
     for radius in (0, 3, 7, 12):
         for code in codes[:20]:
             apart = np.unpackbits(codes ^ code, axis=1).sum(axis=1)
             assert index.probe(code, radius).tolist() == np.flatnonzero(apart <= radius).tolist()
+
+
+def test_no_cell_holds_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CANDIDATE_BLOCK", 10)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(vectors, "CELL", 4)
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1000)], "vec_key long, vector array<double>").repartition(3)
+    tables = [vectors.blocks(x, n, lambda m: m.tobytes(), "blocks") for x, n in ((rows.where("vec_key % 10 = 0"), 5), (rows, 10))]
+    cells = vectors._cells(*tables).select("q_group", "c_group", "q_block", "c_block").collect()
+    n_q, n_c = (t.count() for t in tables)
+    assert len(cells) == len({(r.q_block, r.c_block) for r in cells}) == n_q * n_c  # every pair of blocks once
+    by = {}
+    for r in cells:
+        by.setdefault((r.q_group, r.c_group), []).append(r)
+    assert len(by) >= n_q * n_c / 16 and max(map(len, by.values())) <= 16
+
+
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_recall_on_clusters(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, n)] + 0.15 * rng.normal(size=(n, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u, ids = x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(n)
+    true = {(a, c) for a, _, c, _ in brute(ids, lambda i: u @ u[i], 5, 50)}
+    got = H.neighbours(rows, F.col("vec_key") % 50 == 0, k=5).collect()
+    assert len(got) == len(true) and sum((r.query_id, r.vec_id) in true for r in got) >= 0.9 * len(true)
+
+
+def test_queries_that_find_too_few_search_wider(spark, monkeypatch):
+    """With a radius of 0 nothing but equal codes is found at first; all k come in the end."""
+    learn = H.learn
+
+    def narrow(*given, **named):
+        codes = learn(*given, **named)
+        codes.radius = 0
+        return codes
+
+    monkeypatch.setattr(H, "learn", narrow)
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    got = H.neighbours(rows, F.col("vec_key") % 50 == 0, k=5).collect()
+    assert len(got) == 6 * 5 and {r.rank for r in got} == {1, 2, 3, 4, 5}
