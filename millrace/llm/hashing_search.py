@@ -104,6 +104,7 @@ class Index:
 
     def __init__(self, floats: np.ndarray, codes: np.ndarray, order: np.ndarray, begins: np.ndarray):
         self.floats, self.codes, self.order, self.begins = floats, codes, order, begins
+        self.balls: dict[tuple[int, int, int], np.ndarray] = {}
 
     @classmethod
     def build(cls, floats: np.ndarray, codes: np.ndarray) -> Index:
@@ -122,17 +123,21 @@ class Index:
             at += parts[-1].nbytes
         return cls(*parts)
 
+    def _ball(self, j: int, value: int, radius: int) -> np.ndarray:
+        """Marks for the rows in the buckets around a value of substring j; looked up once for all queries of a block."""
+        if (j, value, radius) not in self.balls:
+            marked, order, begins = np.zeros(len(self.codes), bool), self.order[j], self.begins[j]
+            hit = [order[begins[v] : begins[v + 1]] for v in (_balls(radius) ^ value).tolist() if begins[v + 1] > begins[v]]
+            if hit:
+                marked[np.concatenate(hit)] = True
+            self.balls[j, value, radius] = marked
+        return self.balls[j, value, radius]
+
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Positions of all codes within the radius."""
-        m = len(code)
-        balls = _balls(radius // m)
         marked = np.zeros(len(self.codes), bool)
-        for j in range(m):
-            order, begins = self.order[j], self.begins[j]
-            probes = balls ^ int(code[j])
-            hit = [order[begins[v] : begins[v + 1]] for v in probes.tolist() if begins[v + 1] > begins[v]]
-            if hit:
-                marked[np.concatenate(hit)] = True
+        for j, value in enumerate(code.tolist()):
+            marked |= self._ball(j, value, radius // len(code))
         found = np.flatnonzero(marked)
         return found[_BITS[self.codes[found] ^ code].sum(axis=1, dtype=np.int64) <= radius]
 

@@ -11,7 +11,9 @@ of a bounded sample of labelled documents.
 
 Defined results: a null text, an empty one or one without letters is `und` with
 score 0; if nothing is labelled every text is `und`; repeated rows are predicted
-each; an empty table gives an empty result.
+each; ties go to the first language by name; texts are read whole, however long;
+further columns of the input are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import bounded_sample
+from . import scratch
+from .batches import steps
+from .sampling import bounded_in_groups
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8  # of each width
 WINDOW = 128
-#: Bounds of the training sample: documents, and windows of each.
-SAMPLE_DOCS = 4000
-SAMPLE_WINDOWS = 6
+#: Bounds of the training sample for each language: documents, and windows out of all of theirs.
+SAMPLE_DOCS = 2000
+SAMPLE_WINDOWS = 4096
 #: Windows scored at once.
 _AT_ONCE = 1024
 UNKNOWN = "und"
@@ -113,24 +117,28 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
 
 
 def fit(docs: DataFrame, trainable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteConvolution | None:
-    """Trains on at most SAMPLE_DOCS trainable documents, chosen by a hash of their key, and
-    SAMPLE_WINDOWS evenly spaced windows of each; None if there are none."""
+    """Trains on at most SAMPLE_DOCS trainable documents of each language, chosen by a hash of
+    their key, and on SAMPLE_WINDOWS of all windows of their whole texts, chosen by a hash of
+    their bytes; None if there are none. Rows without a key are not learned from."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, 1):
             names, found = [], []
             for name, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = windows_of(words.encode("utf-8", "surrogatepass"))
-                for i in sorted({i * len(own) // SAMPLE_WINDOWS for i in range(SAMPLE_WINDOWS)}):
-                    if _LETTER[own[i]].sum() * 2 >= np.count_nonzero(own[i]):
-                        names.append(name)
-                        found.append(own[i].tobytes())
+                own = own[_LETTER[own].sum(axis=1) * 2 >= np.count_nonzero(own, axis=1)]
+                names += [name] * len(own)
+                found += map(bytes, own)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], ["lang", "bytes"])
 
-    usable = docs.where(trainable & F.col(lang).isNotNull() & (F.length(text) > 0))
-    chosen = usable.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    bounded = bounded_sample(chosen, SAMPLE_DOCS, "k", "lang").select("lang", "text")
-    rows = bounded.mapInArrow(sample, "lang string, bytes binary").orderBy("lang", "bytes").collect()
+    usable = docs.where(trainable & F.col(key).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
+    usable = usable.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    with scratch.temporary(docs.sparkSession):
+        # Keys first: texts move only for the documents that are chosen.
+        chosen = scratch.store(bounded_in_groups(usable.select("lang", "k"), SAMPLE_DOCS, "lang", "k"), "language-sample")
+        windows = usable.join(chosen.distinct(), ["lang", "k"]).select("lang", "text").mapInArrow(sample, "lang string, bytes binary")
+        windows = scratch.store(windows, "language-windows")
+        rows = bounded_in_groups(windows, SAMPLE_WINDOWS, "lang", "bytes").orderBy("lang", "bytes").collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
@@ -169,11 +177,9 @@ def predict(docs: DataFrame, model: ByteConvolution | None, key: str = "doc_id",
     """One row per document: key, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                names, scores = predict_texts(model, batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_key", "lang_pred", "score"])
+        for batch in steps(batches, 1, rows=256):
+            names, scores = predict_texts(model, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text")).mapInArrow(run, f"doc_key {kind}, lang_pred string, score double")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, wordcache
+from .batches import steps
 
 #: Queues of sources that are too small for a place in every window share this one.
 POOLED = "\x00pooled"
@@ -155,19 +156,17 @@ def _encode(docs: DataFrame, tokenizer: str, end: int, key: str, text: str, sour
             _cache[tokenizer] = wordcache.IdCache(tokenizer)
         ids_of, tail = _cache[tokenizer].ids, end.to_bytes(2, "little")
         part, placed = TaskContext.get().partitionId(), {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                places, lengths, ids = [], [], []
-                for name, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    ids.append((ids_of(words) if words else b"") + tail)
-                    lengths.append(len(ids[-1]) // 2)
-                    places.append(placed.get(name, 0))
-                    placed[name] = places[-1] + lengths[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int64()), pa.array(places, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_key", "queue", "part", "place", "n_tokens", "ids"],
-                )
+        for batch in steps(batches, 2):
+            places, lengths, ids = [], [], []
+            for name, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ids.append((ids_of(words) if words else b"") + tail)
+                lengths.append(len(ids[-1]) // 2)
+                places.append(placed.get(name, 0))
+                placed[name] = places[-1] + lengths[-1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int64()), pa.array(places, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_key", "queue", "part", "place", "n_tokens", "ids"],
+            )
 
     kind = docs.schema[key].dataType.simpleString()
     # Sources are marked so that a null one and the pool clash with no name.
@@ -193,7 +192,12 @@ def pack(
     are packed each, as documents of their own; a null key stays null; further
     columns are ignored; an empty table gives no pieces.
     """
-    tokens = scratch.store(_encode(docs, tokenizer, end, key, text, source), "tokens")
+    with scratch.temporary(docs.sparkSession):
+        return _packed(docs, tokenizer, size, end, targets, key, text, source)
+
+
+def _packed(docs: DataFrame, tokenizer: str, size: int, end: int, targets: dict[str, int] | None, key: str, text: str, source: str) -> DataFrame:
+    tokens = scratch.store(_encode(docs, tokenizer, end, key, text, source), "tokens", keep=True)
     parts = tokens.groupBy("queue", "part").agg(F.sum("n_tokens").alias("n"))
     by_source = scratch.store(parts, "token-parts")
     sums = by_source.groupBy("queue").agg(F.sum("n").alias("n"))
@@ -222,31 +226,34 @@ def pack(
     pool = number[POOLED]
 
     pairs = F.create_map(*[x for q, k in number.items() for x in (F.lit(q), F.lit(k))])
-    line = Window.partitionBy("k").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    # Sums of parts first: a pool of many small sources is no task of its own.
+    numbered = by_source.withColumn("k", F.coalesce(F.try_element_at(pairs, F.col("queue")), F.lit(pool)))
+    over_parts = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    part_bases = numbered.groupBy("k", "part").agg(F.sum("n").alias("m")).withColumn("part_base", F.coalesce(F.sum("m").over(over_parts), F.lit(0))).drop("m")
+    inside = Window.partitionBy("k", "part").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        by_source.withColumn("k", F.coalesce(F.try_element_at(pairs, F.col("queue")), F.lit(pool)))
-        .withColumn("base", F.coalesce(F.sum("n").over(line), F.lit(0)))
-        .select(F.col("queue").alias("q"), F.col("part").alias("p"), "k", "base")
+        numbered.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .join(part_bases, ["k", "part"])
+        .select(F.col("queue").alias("q"), F.col("part").alias("p"), "k", (F.col("part_base") + F.col("inside")).alias("base"))
     )
-    starts = scratch.store(starts, "token-starts")
+    starts = scratch.store(starts, "token-starts", keep=True)
     placed = tokens.join(starts, (F.col("q") == F.col("queue")) & (F.col("p") == F.col("part"))).select(
         "doc_key", "queue", "k", (F.col("base") + F.col("place")).alias("begin"), "n_tokens", "ids"
     )
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                ks, begins, lengths = (batch.column(i).to_numpy() for i in (2, 3, 4))
-                ids = batch.column(5)
-                for k in np.unique(ks):
-                    rows = np.flatnonzero(ks == k)
-                    rows = rows[np.argsort(begins[rows], kind="stable")]
-                    b, n = begins[rows], lengths[rows]
-                    # Documents of one queue and part follow one another; a new part starts elsewhere.
-                    for run in np.split(np.arange(len(rows)), np.flatnonzero(b[1:] != b[:-1] + n[:-1]) + 1):
-                        yield _pieces(robin, int(k), batch, rows[run], b[run], n[run], ids)
+        # Few enough ids for the 32-bit offsets of a list.
+        for batch in steps(batches, 5, 1 << 25):
+            ks, begins, lengths = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            ids = batch.column(5)
+            for k in np.unique(ks):
+                rows = np.flatnonzero(ks == k)
+                rows = rows[np.argsort(begins[rows], kind="stable")]
+                b, n = begins[rows], lengths[rows]
+                # Documents of one queue and part follow one another; a new part starts elsewhere.
+                for run in np.split(np.arange(len(rows)), np.flatnonzero(b[1:] != b[:-1] + n[:-1]) + 1):
+                    yield _pieces(robin, int(k), batch, rows[run], b[run], n[run], ids)
 
     out = placed.mapInArrow(cut, f"doc_key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, queue string")
     return out.withColumnRenamed("doc_key", key)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordcache
+from .batches import steps
 
 _cache: dict[str, wordcache.LengthCache] = {}
 
@@ -29,16 +30,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, key: str =
     Special strings inside texts are treated as the library does by default; no
     token is added around a text.
     """
-    rows_at_once = 256
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _cache:
             _cache[tokenizer] = wordcache.LengthCache(tokenizer)
         lengths = _cache[tokenizer].lengths
-        for batch in batches:
-            found: list[int] = []
-            for at in range(0, batch.num_rows, rows_at_once):
-                found += lengths([x or "" for x in batch.column(1).slice(at, rows_at_once).to_pylist()])
+        for batch in steps(batches, 1):
+            found = lengths([x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_key", "n_bytes", "n_tokens"]
             )

@@ -8,7 +8,9 @@ t_0 < t_1 < ... . The expected severity is the sum of these over j.
 
 Defined results: null, empty and word-free texts have no features and get the
 severity of the intercepts alone, which is low; without labels of both kinds
-every severity is 0; repeated rows are scored each. Scoring adds one struct
+every severity is 0; repeated rows are scored each, ties of grades go to the lower
+one; texts are read whole, however long; keys may be of any type; an empty table
+gives an empty result. Scoring adds one struct
 column, whose name may be chosen, and keeps all others, whatever their names.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .batches import steps
 from .sampling import bounded_sample
 
 #: Bounds of the training sample (labelled documents of each kind) and of the vocabulary.
@@ -37,8 +40,8 @@ BEGINNINGS = (4, 5, 6, 7)
 LEAST = 4
 #: and its log odds ratio between the kinds is so many standard errors from 0.
 LEAST_Z = 3.2
-#: Distinct words that a worker remembers.
-CACHE = 300_000
+#: Distinct words, of at most so many characters, that a worker remembers.
+CACHE, CACHED_CHARS = 300_000, 40
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -77,7 +80,9 @@ class Scorer:
             if own is None:
                 if len(known) > CACHE:
                     known.clear()
-                own = known[word] = [vocabulary[f] for f in features(word) if f in vocabulary]
+                own = [vocabulary[f] for f in features(word) if f in vocabulary]
+                if len(word) <= CACHED_CHARS:
+                    known[word] = own
             for i in own:
                 counts[i] += n
         if not counts:
@@ -118,10 +123,34 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Ordinal | None:
     """Fits on at most SAMPLE labelled documents of each kind, chosen by a hash of their key.
 
-    The labels say toxic or not. Toxic documents with more telling words than
-    the median one are graded 2, the other toxic ones 1, the rest 0. The sample
-    is weighted back to the kinds' shares of all labels.
+    The labels say toxic or not. Severity is how much of a toxic document is
+    toxic language: those with a larger share of toxic words than the median one
+    are graded 2, the other toxic ones 1, the rest 0. Which words are toxic is learned on the
+    other half of the sample, so no document grades itself. The sample is
+    weighted back to the kinds' shares of all labels.
     """
+    with scratch.temporary(docs.sparkSession):
+        return _fit(docs, labels, key, text, label)
+
+
+def _told(rows: np.ndarray, columns: np.ndarray, n: np.ndarray, base: np.ndarray, held: dict[int, int], width: int) -> np.ndarray:
+    """Occurrences in each document of the features that the other half's labels show to be toxic.
+
+    `held` has the numbers of sampled documents of each kind, those without any feature too.
+    """
+    half, told = np.zeros(len(base), int), np.zeros(len(base))
+    for y in (0, 1):  # halves of each kind
+        half[base == y] = np.arange((base == y).sum()) % 2
+    for own in (0, 1):
+        other, odds = half[rows] != own, np.zeros(width)
+        for y, sign in ((1, 1), (0, -1)):
+            seen = np.bincount(columns[other & (base[rows] == y)], minlength=width)
+            odds += sign * np.log((seen + 0.5) / (np.maximum(held[y] / 2 - seen, 0) + 0.5))
+        told += np.bincount(rows, np.where(~other & (odds[columns] > 2), n, 0), len(base))
+    return told
+
+
+def _fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Ordinal | None:
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     totals = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
@@ -129,24 +158,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = [bounded_sample(marks.where(F.col("y") == y), SAMPLE, "k") for y in (0, 1)]
     # Two bounded lists: SAMPLE keys each.
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "k")
-    sample = scratch.store(sample, "labelled-sample")
+    # Numbered as it is written: keys may be of any type.
+    sample = scratch.store(sample.select(F.monotonically_increasing_id().alias("k"), "text", "y"), "labelled-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                names, of, ns, ys = [], [], [], []
-                for k, words, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    found: Counter[str] = Counter()
-                    for word in words_of(words):
-                        found.update(features(word))
-                    names += found.keys()
-                    ns += found.values()
-                    of += [k] * len(found)
-                    ys += [y] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(of, pa.int64()), pa.array(ns, pa.int64()), pa.array(ys, pa.int32())], ["f", "k", "n", "y"])
-
-    table = sample.select(F.col("k").cast("long"), "text", "y").mapInArrow(count, "f string, k long, n long, y int")
+        for batch in steps(batches, 1, rows=64):
+            names, of, ns, ys = [], [], [], []
+            for k, words, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found: Counter[str] = Counter()
+                for word in words_of(words):
+                    found.update(features(word))
+                names += found.keys()
+                ns += found.values()
+                of += [k] * len(found)
+                ys += [y] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(of, pa.int64()), pa.array(ns, pa.int64()), pa.array(ys, pa.int32())], ["f", "k", "n", "y"])
+
+    table = scratch.store(sample.select("k", "text", "y").mapInArrow(count, "f string, k long, n long, y int"), "labelled-features")
     held = sample.groupBy("y").agg(F.count("*").alias("n")).collect()
     held = {r.y: r.n for r in held}
     if len(held) < 2:
@@ -161,17 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not chosen_features:
         return None
     number = {r.f: i for i, r in enumerate(chosen_features)}
-    telling = {i for i, r in enumerate(chosen_features) if r.odds > 2}
-    entries = table.where(F.col("f").isin(list(number))).select("f", "k", "n", "y").orderBy("k", "f").toArrow()
-    f, k, n, y = (entries.column(i).to_pylist() for i in range(4))
-    docs_found = sorted(set(zip(k, y)))
-    row = {x: i for i, (x, _) in enumerate(docs_found)}
-    rows, columns = np.array([row[x] for x in k]), np.array([number[x] for x in f])
-    values = 1 + np.log(np.array(n, np.float64))
-    base = np.array([y for _, y in docs_found])
+    # At most two samples' rows by the vocabulary, as numbers.
+    numbers = docs.sparkSession.createDataFrame(list(number.items()), "f string, c int")
+    entries = table.join(F.broadcast(numbers), "f").select("c", "k", "n", "y").orderBy("k", "c").toArrow()
+    columns, k, n, y = (entries.column(i).to_numpy() for i in range(4))
+    _, first, rows = np.unique(k, return_index=True, return_inverse=True)
+    values, base = 1 + np.log(n.astype(np.float64)), y[first]
     # Documents without any chosen feature count through one row of each kind.
     bare = [max(0, clean - int((base == 0).sum())), max(0, toxic - int((base == 1).sum()))]
-    told = np.bincount(rows, [m if c in telling else 0 for c, m in zip(columns.tolist(), n)], len(base))
+    sizes = table.where(F.col("f").endswith("$")).groupBy("k").agg(F.sum("n").alias("m")).orderBy("k").toArrow()
+    sizes = sizes.column(1).to_numpy()[np.searchsorted(sizes.column(0).to_numpy(), k[first])]
+    told = _told(rows, columns, n, base, held, len(number)) / sizes
     middle = np.median(told[base == 1]) if (base == 1).any() else 0
     grades = np.append(np.where(base == 0, 0, np.where(told > middle, 2, 1)), [0, 1]).astype(int)
     scale = {0: totals[0] / clean, 1: totals[1] / toxic}

@@ -8,6 +8,7 @@ the library only sees each new piece once per worker and cache generation.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -15,11 +16,12 @@ from unicodedata import is_normalized
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept by one worker before its cache starts afresh.
+#: Pieces kept by one worker before its cache starts afresh, and the characters of a piece that is kept at most.
 CACHE_PIECES = 400_000
+CACHED_CHARS = 64
 #: Bytes of text handed to the library in one call.
 BATCH_BYTES = 1 << 18
-#: A text, or a single piece, beyond this many characters is cut at safe boundaries first.
+#: A text that is no sequence of pieces is cut at safe boundaries beyond this many characters.
 LONG_CHARS = 1 << 16
 
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -39,6 +41,28 @@ def load(path: str):
     return _loaded[path]
 
 
+def _shape(tokenizer) -> tuple[str, str]:
+    """The file's normalizer and pre-tokenizer."""
+    whole = json.loads(tokenizer.to_str())
+    return json.dumps(whole["normalizer"], sort_keys=True), json.dumps(whole["pre_tokenizer"], sort_keys=True)
+
+
+def keeps_blanks(tokenizer) -> bool:
+    """True if texts are split by the byte-level pattern alone, so that white space begins a piece."""
+    normalizer, pre = (json.loads(x) for x in _shape(tokenizer))
+    return normalizer is None and bool(pre) and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+
+
+def drops_blanks(tokenizer) -> bool:
+    """True if texts are put in NFC and lower case and split into runs that no white space is in."""
+    normalizer, pre = (json.loads(x) for x in _shape(tokenizer))
+    steps = [x["type"] for x in (normalizer or {}).get("normalizers", [])]
+    splits = (pre or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+        return False
+    return splits[0]["behavior"] == "Removed" and splits[0]["invert"] and splits[0]["pattern"]["Regex"].endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+
+
 def plain(text: str) -> bool:
     """True if cuts at Python's white space are safe and no special string can occur."""
     return "<|" not in text and not any(c in text for c in _SEPARATORS)
@@ -78,10 +102,11 @@ def byte_batches(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[lis
 
 
 class LengthCache:
-    """Numbers of tokens of texts, for tokenizers that keep white space in their pieces."""
+    """Numbers of tokens of texts: by pieces, for tokenizers that keep white space in them, or else of whole texts."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.by_pieces = keeps_blanks(self.tokenizer)
         self.known: dict[str, int] = {}
 
     def _encode(self, pieces: list[str]) -> Iterator[int]:
@@ -110,7 +135,9 @@ class LengthCache:
         out, known = [0] * len(texts), self.known
         split, whole = {}, []
         for i, text in enumerate(texts):
-            if plain(text):
+            if not self.by_pieces:
+                whole.append((i, text))
+            elif plain(text):
                 split[i] = _PIECE.findall(text)
             else:
                 whole += ((i, part) for part in cut_long(text))
@@ -118,13 +145,15 @@ class LengthCache:
         self._learn(sorted(missing))
         for i, pieces in split.items():
             out[i] = sum(map(known.__getitem__, pieces))
+        for x in missing:
+            if len(x) > CACHED_CHARS:
+                known.pop(x, None)
+                known.pop(x[:-1], None)
         for (i, _), n in zip(whole, self._encode([part for _, part in whole])):
             out[i] += n
         return out
 
 
-
-
 def _byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write each byte as one visible character: printable
     Latin-1 characters stand for themselves, the other bytes are 256, 257, ... in turn."""
@@ -145,7 +174,7 @@ class IdCache(dict):
         self.tokenizer = load(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit into 16 bits")
-        self.model = self.tokenizer.model
+        self.model, self.by_pieces = self.tokenizer.model, drops_blanks(self.tokenizer)
 
     def _pack(self, ids: list[int]) -> bytes:
         return b"".join(x.to_bytes(2, "little") for x in ids)
@@ -161,7 +190,8 @@ class IdCache(dict):
             found = self[piece[:-1]] + self[piece[-1]]
         else:
             found = self.whole(piece)
-        self[piece] = found
+        if len(piece) <= CACHED_CHARS:
+            self[piece] = found
         return found
 
     def whole(self, text: str) -> bytes:
@@ -171,6 +201,8 @@ class IdCache(dict):
         """The ids of a whole text."""
         if len(self) > CACHE_PIECES:
             self.clear()
+        if not self.by_pieces:
+            return self.whole(text)
         if not plain(text) or "Σ" in text:
             return b"".join(map(self.whole, cut_long(text)))
         return b"".join(map(self.__getitem__, text.lower().split()))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -67,3 +69,22 @@ def test_planted_words_in_documents(spark, sf_dir):
     toxic = {r.doc_id for r in rows if r.toxic}
     assert sum(labels[i] for i in labels if i in toxic) >= 0.7 * sum(labels.values())
     assert sum(1 - labels[i] for i in labels if i in toxic) <= 0.02 * len(labels)
+
+
+def test_keys_of_any_type_and_a_slow_scorer(spark):
+    docs, labels = made(spark)
+    text = lambda df: df.withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    model = T.fit(text(docs), text(labels))
+    assert model is not None and len(model.thresholds) == 2
+    rows = {r.doc_id: r for r in T.score(text(docs), model).collect()}
+    for r in text(docs).collect():
+        counts = {}
+        for word in T.words_of(r.text):
+            for f in T.features(word):
+                if f in model.vocabulary:
+                    counts[f] = counts.get(f, 0) + 1
+        x = sum(model.weights[model.vocabulary[f]] * (1 + math.log(n)) for f, n in counts.items())
+        above = [1 / (1 + math.exp(min(30, max(-30, t - x)))) for t in model.thresholds]
+        assert abs(rows[r.doc_id].severity - sum(above)) < 1e-9 and abs(rows[r.doc_id].p_toxic - above[0]) < 1e-9
+        grades = [a - b for a, b in zip([1.0, *above], [*above, 0.0])]
+        assert rows[r.doc_id].grade == grades.index(max(grades))
